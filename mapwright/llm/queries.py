@@ -5,26 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mapwright.llm.exact_dedup import exact_dedup
+from mapwright.llm.jaccard import jaccard_components
 from mapwright.llm.mixing import mix_sources
+from mapwright.llm.quality import classify_quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+    scored = classify_quality(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_jaccard_join": op3_jaccard_join,
         "op6_mix_sources": op6_mix_sources,
     }
 
