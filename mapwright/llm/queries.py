@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mapwright.llm.chat import rotate_perspectives
+from mapwright.llm.decontaminate import find_contamination
 from mapwright.llm.exact_dedup import exact_dedup
 from mapwright.llm.jaccard import jaccard_components
+from mapwright.llm.line_dedup import drop_recurring_lines
 from mapwright.llm.mixing import mix_sources
+from mapwright.llm.pii import find_pii, joined
 from mapwright.llm.quality import classify_quality
 
 
@@ -35,16 +39,40 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return seen.select("conv_id", "perspective", "part", "n_turns", "n_trained", F.sha2("rendered", 256).alias("rendered_sha256"), "mask")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).drop("source")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    counts = [of(i).alias(f"n_{k}") for i, k in enumerate(("email", "ip", "card", "phone"))]
+    return found.select("doc_id", *counts, F.size("terms").cast("long").alias("n_term"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.concat("spans", "terms")).alias("spans"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_jaccard_join": op3_jaccard_join,
+        "op4_chat_perspectives": op4_chat_perspectives,
+        "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op7_pii": op7_pii,
+        "op9_decontamination": op9_decontamination,
     }
 
 
