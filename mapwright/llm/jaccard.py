@@ -37,8 +37,10 @@ from mapwright.llm.common import Scratch
 from mapwright.llm.components import least_reachable
 from mapwright.llm.textbytes import mix64, runs, slices, word_bounds, word_hashes
 
-BITS = 2048
-_WORDS = BITS // 64
+#: Bitmaps have at least twice as many bits as their set has shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: A list of at most this many classes is sent to all tasks.
+MOST_SENT = 250_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -64,13 +66,22 @@ def set_key(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """One bit for each shingle, hashed into BITS places (places may coincide)."""
-    place = np.unique((mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(BITS - 1)).astype(np.int64))
-    out = np.zeros(_WORDS, np.uint64)
+    """One bit for each shingle, hashed into places (which may coincide); sizes decide the width."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS
+    place = np.unique((mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64))
+    out = np.zeros(width // 64, np.uint64)
     np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
     return out
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows) as they would be with fewer words."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with which sizes a and b reach the threshold."""
     return -(-percent * (a + b) // (100 + percent))
@@ -110,6 +121,8 @@ def _propose(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["token", "n", "cls"]):
             token, n, cls = g["token"], g["n"], g["cls"]
+            fresh = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])]  # texts of one class
+            token, n, cls = token[fresh], n[fresh], cls[fresh]
             new = np.r_[True, token[1:] != token[:-1]]
             size = np.diff(np.r_[np.flatnonzero(new), len(token)])
             many = np.repeat(size > 1, size)
@@ -138,27 +151,27 @@ def _bounded(percent: int, block: int = 512):
         seen: set[tuple[int, int]] = set()
         for g in _groups(batches, names):
             token, n, cls, comp = g["token"], g["n"], g["cls"], g["component"]
-            bits = np.frombuffer(b"".join(g["bits"]), np.uint64).reshape(len(token), _WORDS)
-            ones = np.bitwise_count(bits).sum(1).astype(np.int64)
+            raw = g["bits"]
+            wide = np.array([len(x) for x in raw])
             cuts = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e - s < 2 or (comp[s:e] == comp[s]).all():
                     continue
-                for lo in range(s, e, block):
-                    hi = min(lo + block, e)
-                    # Rows of a tile come by size: partners end where sizes grow too large.
-                    last = s + int(np.searchsorted(n[s:e], n[hi - 1] * 100 // percent, "right"))
-                    for left in range(lo, last, block):
-                        right = min(left + block, last)
+                # Rows of a tile come by size, and so by width; each block has one width.
+                edge = np.unique(np.r_[np.arange(s, e, block), s + np.flatnonzero(np.diff(wide[s:e])) + 1, e])
+                parts = [np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(y - x, -1) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+                for i, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+                    for j in range(i, len(parts)):
+                        left, right = edge[j], edge[j + 1]
+                        if n[left] * percent > n[hi - 1] * 100:
+                            break  # partners end where sizes grow too large
                         a, b = np.arange(lo, hi)[:, None], np.arange(left, right)[None, :]
-                        ok = (b > a) & (comp[a] != comp[b]) & (n[b] * percent <= n[a] * 100)
-                        ai, bi = np.nonzero(ok)
-                        ai, bi = ai + lo, bi + left
-                        both = np.bitwise_count(bits[ai] & bits[bi]).sum(1).astype(np.int64)
-                        # Shared shingles share bits: each side's shingles without a shared bit are lost.
-                        most = np.minimum(n[ai] - (ones[ai] - both), n[bi] - (ones[bi] - both))
-                        fit = most >= needed(n[ai], n[bi], percent)
-                        pairs = {*zip(cls[ai[fit]].tolist(), cls[bi[fit]].tolist(), strict=True)} - seen
+                        ai, bi = np.nonzero((b > a) & (comp[a] != comp[b]) & (n[b] * percent <= n[a] * 100))
+                        if not len(ai):
+                            continue
+                        other = folded(parts[j], parts[i].shape[1])
+                        fit = _most_shared(parts[i], other, ai, bi, n[lo + ai], n[left + bi]) >= needed(n[lo + ai], n[left + bi], percent)
+                        pairs = {*zip(cls[lo + ai[fit]].tolist(), cls[left + bi[fit]].tolist(), strict=True)} - seen
                         if len(seen) < 200_000:
                             seen |= pairs
                         if pairs:
@@ -168,6 +181,36 @@ def _bounded(percent: int, block: int = 512):
     return run
 
 
+def _most_shared(bits_a: np.ndarray, bits_b: np.ndarray, ai: np.ndarray, bi: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The largest overlap that two bitmaps allow: a shingle whose bit the other side lacks isn't shared."""
+    ones_a, ones_b = np.bitwise_count(bits_a).sum(1, dtype=np.int64), np.bitwise_count(bits_b).sum(1, dtype=np.int64)
+    both, step = np.empty(len(ai), np.int64), max(1, (1 << 20) // bits_a.shape[1])
+    for x in range(0, len(ai), step):
+        both[x : x + step] = np.bitwise_count(bits_a[ai[x : x + step]] & bits_b[bi[x : x + step]]).sum(1, dtype=np.int64)
+    return np.minimum(na - (ones_a[ai] - both), nb - (ones_b[bi] - both))
+
+
+def _possible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            raw_a, raw_b = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+            wide = np.array([[len(x), len(y)] for x, y in zip(raw_a, raw_b, strict=True)])
+            keep = np.zeros(len(na), bool)
+            for wa, wb in np.unique(wide, axis=0):
+                at = np.flatnonzero((wide == (wa, wb)).all(1))
+                words = int(min(wa, wb)) // 8
+                bits = [folded(np.frombuffer(b"".join(raw[i] for i in at), np.uint64).reshape(len(at), -1), words) for raw in (raw_a, raw_b)]
+                same = np.arange(len(at))
+                keep[at] = _most_shared(*bits, same, same, na[at], nb[at]) >= needed(na[at], nb[at], percent)
+            fit = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(fit), batch.column("b").filter(fit)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,61 +240,68 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n = [], []
+            key, n, bits = [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 key.append(set_key(s))
                 n.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["id", "key", "n"])
+                bits.append(bitmap(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "n", "bits"])
 
-    rows = scratch.keep(base.mapInArrow(keyed, "id long, key long, n long"), "rows")
+    rows = scratch.keep(base.mapInArrow(keyed, "id long, key long, n long, bits binary"), "rows")
     classes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, token, n, who = batch.column("key").to_numpy(), [], [], []
-            for i, s in enumerate(shingle_sets(batch.column("text"), k)):
-                if len(s) and set_key(s) == keys[i]:  # an identifier may have rows with other texts
+            token, n, who = [], [], []
+            for s in shingle_sets(batch.column("text"), k):
+                if len(s):
                     t = s[: n_posted(len(s), percent)]
                     token.append(t.view(np.int64))
                     n.append(np.full(len(t), len(s)))
-                    who.append(np.full(len(t), keys[i]))
+                    who.append(np.full(len(t), set_key(s)))
             if token:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), pa.array(np.concatenate(n)), pa.array(np.concatenate(who))], names=["token", "n", "cls"])
 
-    texts = base.join(classes.select("id", "key"), "id")
-    postings = texts.select("key", "text").mapInArrow(posted, "token long, n long, cls long")
+    postings = base.where("id is not null").select("text").mapInArrow(posted, "token long, n long, cls long")
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "cls")
     tiles = scratch.keep(dealt.mapInArrow(_propose(percent), "token long, n long, cls long, lead long, lead_n long, prev long, prev_n long"), "tiles")
+    shown = tiles.select(F.col("cls").alias("key")).distinct()
+    bits = scratch.keep(rows.join(classes.select("key", "id"), ["key", "id"]).join(shown, "key", "left_semi").select(F.col("key").alias("cls"), "bits").dropDuplicates(["cls"]), "bits")
 
-    pair = lambda b, bn: tiles.where(f"cls <> {b} and least(n, {bn}) * 100 >= greatest(n, {bn}) * {percent}").select(F.least("cls", b).alias("a"), F.greatest("cls", b).alias("b"))
-    proposed = scratch.keep(pair("lead", "lead_n").unionByName(pair("prev", "prev_n")).distinct(), "proposed")
+    pair = lambda b, bn: tiles.where(f"cls <> {b} and least(n, {bn}) * 100 >= greatest(n, {bn}) * {percent}").select(F.least("cls", b).alias("a"), F.greatest("cls", b).alias("b"), F.when(F.col("cls") < F.col(b), F.col("n")).otherwise(F.col(bn)).alias("na"), F.when(F.col("cls") < F.col(b), F.col(bn)).otherwise(F.col("n")).alias("nb"))
+    proposed = pair("lead", "lead_n").unionByName(pair("prev", "prev_n")).distinct()
+    proposed = proposed.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_possible(percent), "a long, b long")
 
-    # Only classes in tiles are compared: their sets are made once more from their texts.
+    # Only classes in pairs that may link are compared: their sets are made once more from their texts.
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, got = batch.column("key").to_numpy(), []
             for i, s in enumerate(shingle_sets(batch.column("text"), k)):
-                if set_key(s) == keys[i]:
-                    got.append((keys[i], s.tobytes(), bitmap(s).tobytes()))
+                if set_key(s) == keys[i]:  # an identifier may have rows with other texts
+                    got.append((keys[i], s.tobytes()))
             if got:
-                cls, hashes, bits = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bits, pa.binary())], names=["cls", "hashes", "bits"])
-
-    shared = classes.join(tiles.select(F.col("cls").alias("key")).distinct(), "key", "left_semi")
-    held = scratch.keep(base.join(shared.select("id", "key"), "id").select("key", "text").mapInArrow(sets, "cls long, hashes binary, bits binary"), "sets")
+                cls, hashes = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(hashes, pa.binary())], names=["cls", "hashes"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c, s: held.select(F.col("cls").alias(c), F.col("hashes").alias(s))
-        both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b")
+        pairs = scratch.keep(pairs, f"{name}-pairs")
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = scratch.keep(classes.join(ends, "key", "left_semi").select("id", "key"), f"{name}-ends")
+        # Two numbers for each class: sent to all tasks up to a fixed count, else joined.
+        few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+        held = scratch.keep(base.join(few, "id").select("key", "text").mapInArrow(sets, "cls long, hashes binary").dropDuplicates(["cls"]), f"{name}-sets")
+        both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
         return scratch.keep(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct(), name)
 
     links = verified(proposed, "links-1")
     known = least_reachable(links, scratch, "cc-1")
     component = F.coalesce("component", F.col("cls"))
     placed = tiles.select("token", "n", "cls").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("token", "n", "cls", component.alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rest = placed.join(mixed, "token", "left_semi").join(held.select("cls", "bits"), "cls")
-    more = rest.select("token", "n", "cls", "component", "bits").repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_bounded(percent), "a long, b long").distinct()
+    # Of tiles with the same members only one is needed, and none whose members are all in one component.
+    lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x2"))
+    mixed = lists.where("lo <> hi").groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token")
+    rest = placed.join(mixed, "token", "left_semi").join(bits, "cls")
+    more = rest.select("token", "n", "cls", "component", "bits").repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_bounded(percent), "a long, b long")
     late = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-2")
     every = links.unionByName(late)
     final = scratch.keep(least_reachable(every, scratch, "cc-2"), "components")
