@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from mapwright.llm.line_dedup import drop_recurring_lines
 from mapwright.llm.mixing import mix_sources
 from mapwright.llm.pii import find_pii, joined
 from mapwright.llm.quality import classify_quality
+from mapwright.llm.token_output import tokens_round_trip
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +61,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.size("terms").cast("long").alias("n_term"), F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.concat("spans", "terms")).alias("spans"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_pii": op7_pii,
+        "op8_token_output": op8_token_output,
         "op9_decontamination": op9_decontamination,
     }
 

@@ -17,8 +17,7 @@ import zlib
 import numpy as np
 
 _U = np.uint64
-SLOTS = 2048
-HIGH = 256
+SLOTS = 512
 _16, _48 = _U(16), _U(48)
 _BOTTOM = _U(1 << 40)
 
@@ -32,10 +31,13 @@ class _Model:
         self.one = np.zeros(lanes * SLOTS, np.uint32)
         self.hit2 = np.full(lanes * 4, 16384, np.int64)
         self.hit1 = np.full(lanes * 4, 16384, np.int64)
-        self.cum = np.tile(np.arange(HIGH + 1, dtype=np.uint16), (lanes, 1))
+        # Counts below each of 16 groups of upper bytes, and below each of a group's 16.
+        self.groups = np.tile(np.arange(17, dtype=np.uint16) * np.uint16(16), (lanes, 1))
+        self.inner = np.tile(np.arange(17, dtype=np.uint16), (lanes * 16, 1))
         self.c1 = np.zeros(lanes, np.int64)
         self.c2 = np.zeros(lanes, np.int64)
-        self.places = np.arange(HIGH + 1, dtype=np.uint16)
+        # What a count of 8 for the row's own place adds.
+        self.more = ((np.arange(17)[None, :] > np.arange(16)[:, None]) * 8).astype(np.uint16)
 
     def predict(self) -> tuple:
         self.s1 = self.base + ((self.c1 * 40503) >> 3 & (SLOTS - 1))
@@ -57,8 +59,10 @@ class _Model:
         self.two[self.s2] = np.where(right2, fresh | (np.minimum(t2 + 1, 3) << 17), np.where(t2 > 1, self.e2 - (1 << 17), fresh)).astype(np.uint32)
         self.one[self.s1] = np.where(right1, fresh | (np.minimum(t1 + 1, 3) << 17), np.where(t1 > 1, self.e1 - (1 << 17), fresh)).astype(np.uint32)
         if len(escaped):
-            high = (ids[escaped] >> 8).astype(np.uint16)
-            self.cum[escaped] += np.uint16(8) * (self.places[None, :] > high[:, None])
+            high = ids[escaped] >> 8
+            g = high >> 4
+            self.groups[escaped] += self.more[g]
+            self.inner[escaped * 16 + g] += self.more[high & 15]
         self.c2, self.c1 = self.c1, ids
 
 
@@ -96,9 +100,12 @@ def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, int]]:
         e = np.flatnonzero(esc)
         if len(e):
             high, lower = x[e] >> 8, (x[e] & 255).astype(_U)
-            c = m.cum[e, high].astype(_U)
-            f = m.cum[e, high + 1].astype(_U) - c
-            r = new_width[e] // (m.cum[e, HIGH].astype(_U) << _U(8))
+            g, l = high >> 4, high & 15
+            row = e * 16 + g
+            within = m.inner[row, l]
+            f = (m.inner[row, l + 1] - within).astype(_U)
+            c = (m.groups[e, g] + within).astype(_U)
+            r = new_width[e] // (m.groups[e, 16].astype(_U) << _U(8))
             new_low[e] += r * ((c << _U(8)) + lower * f)
             new_width[e] = r * f
         if live[t] < m.n:
@@ -159,14 +166,21 @@ def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None =
         new_low, new_width = low + part * start, part * share
         e = np.flatnonzero(esc)
         if len(e):
-            total = m.cum[e, HIGH].astype(_U) << _U(8)
+            groups = m.groups[e]
+            total = groups[:, 16].astype(_U) << _U(8)
             r = new_width[e] // total
             v2 = np.minimum((code[e] - new_low[e]) // r, total - _U(1))
-            cum = m.cum[e]
-            high = np.minimum((cum <= (v2 >> _U(8)).astype(np.uint16)[:, None]).sum(1) - 1, HIGH - 1)
+            v = (v2 >> _U(8)).astype(np.uint16)
             rows = np.arange(len(e))
-            c = cum[rows, high].astype(_U)
-            f = cum[rows, high + 1].astype(_U) - c
+            g = (groups <= v[:, None]).sum(1) - 1
+            v -= groups[rows, g]
+            row = e * 16 + g
+            inner = m.inner[row]
+            l = (inner <= v[:, None]).sum(1) - 1
+            within = inner[rows, l]
+            f = (inner[rows, l + 1] - within).astype(_U)
+            c = (groups[rows, g] + within).astype(_U)
+            high = (g << 4) | l
             lower = np.minimum((v2 - (c << _U(8))) // f, _U(255))
             new_low[e] += r * ((c << _U(8)) + lower * f)
             new_width[e] = r * f
