@@ -16,6 +16,7 @@ from mapwright.llm.line_dedup import drop_recurring_lines
 from mapwright.llm.mixing import mix_sources
 from mapwright.llm.pii import find_pii, joined
 from mapwright.llm.quality import classify_quality
+from mapwright.llm.substring import remove_repeats
 from mapwright.llm.token_output import tokens_round_trip
 
 
@@ -69,6 +70,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_pii": op7_pii,
         "op8_token_output": op8_token_output,
         "op9_decontamination": op9_decontamination,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
