@@ -7,11 +7,11 @@
    Classes that post the same shingle meet in a tile.
 3. Tiles are banded by size: partners' sizes differ by a factor 1/t at most, so only
    the same and the next band matter. In the first round each class
-   is proposed to the first class of its band and of the band below. In the
-   second round, tiles that still hold classes of different components compare
-   all pairs of them, in blocks, by hashed bitmap signatures: their bit counts
-   bound the overlap from above, and only pairs that may still reach the
-   threshold go on. Nothing is capped.
+   is proposed to the first class of its band and of the band below, then to the
+   likeliest of a few pivots. In the last round, tiles that still
+   hold classes of different components compare all pairs of them, in blocks. In all
+   rounds hashed bitmap signatures decide who goes on: their bit counts bound
+   the overlap from above. Nothing is capped.
 4. Proposed pairs are decided by exact intersection of the sorted hash arrays.
 
 Every pair of classes in one component need not be compared, but no link between
@@ -41,6 +41,8 @@ from mapwright.llm.textbytes import mix64, runs, slices, word_bounds, word_hashe
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: A list of at most this many classes is sent to all tasks.
 MOST_SENT = 250_000
+#: Pivots of a tile in each of the rounds between the first and the last, and bytes of a sketch.
+PIVOTS, PIVOT_ROUNDS, SKETCH = 32, 1, 64
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -74,6 +76,17 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    """One byte of the least hash in each of SKETCH bins, a rough estimate of similarity."""
+    out = np.zeros(SKETCH, np.uint8)
+    if len(s):
+        h = np.sort(mix64(s ^ np.uint64(0x6C62272E07BB0142)))
+        place = (h >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        out[place[first]] = (mix64(h[first]) & np.uint64(255)).astype(np.uint8)
+    return out
+
+
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps (rows) as they would be with fewer words."""
     while bits.shape[1] > words:
@@ -227,6 +240,50 @@ def _verify(percent: int):
     return run
 
 
+def _pivots(percent: int, seed: int, least: float = 0.7):
+    """Each class of a tile with the most similar, by sketches, of a few pivots of its tile in other components.
+
+    Pivots only save later comparisons; what they miss, the last round finds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for g in _groups(batches, ["token", "n", "cls", "component", "sketch"]):
+            token, n, cls, comp = g["token"], g["n"], g["cls"], g["component"]
+            sketch = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(token), SKETCH)
+            order = mix64(cls.view(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+            found: list[tuple[int, int, int, int]] = []
+            cuts = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                chosen = s + np.argpartition(order[s:e], PIVOTS)[:PIVOTS] if e - s > PIVOTS else np.arange(s, e)
+                for lo in range(s, e, 4096):
+                    at = np.arange(lo, min(lo + 4096, e))
+                    alike = (sketch[at][:, None, :] == sketch[chosen][None, :, :]).mean(2)
+                    small, large = np.minimum(n[at][:, None], n[chosen]), np.maximum(n[at][:, None], n[chosen])
+                    alike[(comp[at][:, None] == comp[chosen]) | (small * 100 < large * percent)] = 0
+                    best = alike.argmax(1)
+                    for i in np.flatnonzero(alike[np.arange(len(at)), best] >= least):
+                        x, y = int(at[i]), int(chosen[best[i]])
+                        x, y = (x, y) if cls[x] < cls[y] else (y, x)
+                        pair = (int(cls[x]), int(cls[y]))
+                        if pair not in seen:
+                            if len(seen) < 200_000:
+                                seen.add(pair)
+                            found.append((*pair, int(n[x]), int(n[y])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "na", "nb"])
+
+    return run
+
+
+def _open_tiles(tiles: DataFrame, known: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Tiles (token, n, cls, component) that hold several components, one of each list of members."""
+    placed = tiles.select("token", "n", "cls").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("token", "n", "cls", F.coalesce("component", F.col("cls")).alias("component"))
+    lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x2"))
+    mixed = lists.where("lo <> hi").groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token")
+    return scratch.keep(placed.join(mixed, "token", "left_semi"), name)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: identifier, n_shingles, class_id, component_id, n_links.
 
@@ -240,14 +297,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, bits = [], [], []
+            key, n, bits, sketches = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 key.append(set_key(s))
                 n.append(len(s))
                 bits.append(bitmap(s).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names=["id", "key", "n", "bits"])
+                sketches.append(sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "key", "n", "bits", "sketch"])
 
-    rows = scratch.keep(base.mapInArrow(keyed, "id long, key long, n long, bits binary"), "rows")
+    rows = scratch.keep(base.mapInArrow(keyed, "id long, key long, n long, bits binary, sketch binary"), "rows")
     classes = scratch.keep(rows.where("n > 0 and id is not null").groupBy("key", "n").agg(F.min("id").alias("id")), "classes")
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,11 +324,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "cls")
     tiles = scratch.keep(dealt.mapInArrow(_propose(percent), "token long, n long, cls long, lead long, lead_n long, prev long, prev_n long"), "tiles")
     shown = tiles.select(F.col("cls").alias("key")).distinct()
-    bits = scratch.keep(rows.join(classes.select("key", "id"), ["key", "id"]).join(shown, "key", "left_semi").select(F.col("key").alias("cls"), "bits").dropDuplicates(["cls"]), "bits")
+    bits = scratch.keep(rows.join(classes.select("key", "id"), ["key", "id"]).join(shown, "key", "left_semi").select(F.col("key").alias("cls"), "bits", "sketch").dropDuplicates(["cls"]), "bits")
 
     pair = lambda b, bn: tiles.where(f"cls <> {b} and least(n, {bn}) * 100 >= greatest(n, {bn}) * {percent}").select(F.least("cls", b).alias("a"), F.greatest("cls", b).alias("b"), F.when(F.col("cls") < F.col(b), F.col("n")).otherwise(F.col(bn)).alias("na"), F.when(F.col("cls") < F.col(b), F.col(bn)).otherwise(F.col("n")).alias("nb"))
     proposed = pair("lead", "lead_n").unionByName(pair("prev", "prev_n")).distinct()
-    proposed = proposed.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_possible(percent), "a long, b long")
+    def possible(pairs: DataFrame) -> DataFrame:
+        side = bits.select("cls", "bits")
+        both = pairs.join(side.toDF("a", "bits_a"), "a").join(side.toDF("b", "bits_b"), "b")
+        return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_possible(percent), "a long, b long")
 
     # Only classes in pairs that may link are compared: their sets are made once more from their texts.
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,20 +354,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
         return scratch.keep(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct(), name)
 
-    links = verified(proposed, "links-1")
+    links = verified(possible(proposed), "links-1")
     known = least_reachable(links, scratch, "cc-1")
-    component = F.coalesce("component", F.col("cls"))
-    placed = tiles.select("token", "n", "cls").join(known.withColumnRenamed("id", "cls"), "cls", "left").select("token", "n", "cls", component.alias("component"))
-    # Of tiles with the same members only one is needed, and none whose members are all in one component.
-    lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.bit_xor(F.xxhash64("cls", F.lit(7))).alias("x2"))
-    mixed = lists.where("lo <> hi").groupBy("c", "x1", "x2").agg(F.min("token").alias("token")).select("token")
-    rest = placed.join(mixed, "token", "left_semi").join(bits, "cls")
-    more = rest.select("token", "n", "cls", "component", "bits").repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_bounded(percent), "a long, b long")
-    late = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-2")
+    # Rounds of pivots join what is left of near-copy groups, so
+    # that the last round's pairs are those that the bounds can't tell from links.
+    for step in range(1, 1 + PIVOT_ROUNDS):
+        rest = _open_tiles(tiles, known, scratch, f"open-{step}")
+        sketched = rest.join(bits.select("cls", "sketch"), "cls").select("token", "n", "cls", "component", "sketch")
+        chosen = sketched.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_pivots(percent, step), "a long, b long, na long, nb long")
+        more = verified(possible(chosen.distinct()), f"links-1-{step}")
+        links = links.unionByName(more)
+        known = least_reachable(links, scratch, f"cc-1-{step}")
+    rest = _open_tiles(tiles, known, scratch, "open-last").join(bits.select("cls", "bits"), "cls")
+    last = rest.select("token", "n", "cls", "component", "bits").repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_bounded(percent), "a long, b long")
+    late = verified(last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-2")
     every = links.unionByName(late)
     final = scratch.keep(least_reachable(every, scratch, "cc-2"), "components")
     degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "cls")
-    member = classes.withColumnRenamed("key", "cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.col("n").alias("m"), F.col("id").alias("class_id"), component.alias("component"))
+    member = classes.withColumnRenamed("key", "cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.col("n").alias("m"), F.col("id").alias("class_id"), F.coalesce("component", F.col("cls")).alias("component"))
     least = member.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = member.join(least, "component").join(degree, "cls", "left").drop("component")
     out = rows.join(named, (rows["key"] == named["cls"]) & (rows["n"] == named["m"]), "left")
