@@ -20,7 +20,7 @@ empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapwright.llm.common import WORD, Scratch
@@ -30,11 +30,15 @@ FIELD = "<*>"
 MOST_SENT = 500_000
 
 
+def _key() -> Column:
+    return F.xxhash64("id", F.coalesce("text", F.lit("")))
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """id, text, key, lines, and for each line its tokens with fields masked."""
     tokens = F.transform("lines", lambda s: F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
     out = docs.withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    out = out.withColumn("key", F.xxhash64("id", F.coalesce("text", F.lit("")))).withColumn("tokens", tokens)
+    out = out.withColumn("key", _key()).withColumn("tokens", tokens)
     leaf = F.transform("tokens", lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, depth), " "))))
     return out.withColumn("leaves", leaf)
 
@@ -67,7 +71,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = by_template.unionByName(named.where(F.col("n") >= min_docs).select("leaf", "masked")).distinct()
     # What a document loses is at most its own lines.
     per_doc = scratch.keep(lines.join(gone, ["leaf", "masked"]).groupBy("key").agg(F.collect_set("masked").alias("gone")).withColumnRenamed("key", "lost_by"), "gone")
-    out = parsed.drop("leaves").join(per_doc, F.col("key") == F.col("lost_by"), "left")
+    # Texts move, their tokens don't: they are parsed again behind the join.
+    out = base.withColumn("text_key", _key()).join(per_doc, F.col("text_key") == F.col("lost_by"), "left").drop("text_key")
+    out = _lines(out, depth)
     keep = F.zip_with("lines", "tokens", lambda s, t: F.when((F.size(t) > 0) & F.coalesce(F.array_contains("gone", F.array_join(t, " ")), F.lit(False)), F.lit(None).cast("string")).otherwise(s))
     out = out.select("id", F.size("lines").cast("long").alias("n_lines"), F.filter(keep, lambda s: s.isNotNull()).alias("kept"))
     return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))

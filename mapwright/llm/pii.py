@@ -128,7 +128,8 @@ def find_pii(
     entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = pairs.select("term").distinct()
     words = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    # An inner join: the optimiser would move a semi-join below the count, onto every word.
+    counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     content = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("both") / (F.col("n_entity") * F.greatest("n_term", "both").cast("double")))
     judged = pairs.join(entities, "entity").join(counted, "term").where(content > 0).withColumn("disclosed", pmi / content).where(F.col("disclosed") >= generalise)
