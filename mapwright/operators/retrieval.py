@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -105,17 +109,34 @@ def fuse(vector: DataFrame, keyword: DataFrame, query_id: str, chunk_id: str, k:
 
 
 def hashing_embedding(c: Column, size: int = 256) -> Column:
-    """Deterministic bag-of-words vector: counts of tokens by the first 32 bits of their md5."""
-    slot = F.transform(T.tokens(c), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % size)
-    counted = F.aggregate(F.array_sort(slot), F.struct(F.array().cast("array<struct<b:bigint,n:bigint>>").alias("done"), F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("n")), lambda a, x: F.when(a["b"] == x, F.struct(a["done"].alias("done"), x.alias("b"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.when(a["n"] > 0, F.concat(a["done"], F.array(F.struct(a["b"].alias("b"), a["n"].alias("n"))))).otherwise(a["done"]).alias("done"), x.alias("b"), F.lit(1).cast("bigint").alias("n"))))
-    pairs = F.concat(counted["done"], F.array(F.struct(counted["b"].alias("b"), counted["n"].alias("n"))))
-    table = F.map_from_entries(F.filter(pairs, lambda p: p["b"] >= 0))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(table, i.cast("bigint")), F.lit(0)).cast("double"))
+    """Deterministic bag-of-words vector of a short text: counts of tokens by the first 32 bits of their md5."""
+    slots = F.transform(T.tokens(c), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % size)
+    # The array around the slots binds them, so that they are made once.
+    return F.get(F.transform(F.array(slots), lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda x: x == i)).cast("double"))), F.lit(0))
+
+
+def embedding_of(size: int = 256) -> Callable[[Column], Column]:
+    """The same vector for texts of any length, made in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def embed_batch(texts: pd.Series) -> pd.Series:
+        slot: dict[str, int] = {}
+        out = []
+        for t in texts:
+            v = np.zeros(size)
+            for w, n in Counter(re.findall(r"\w+", (t or "").lower())).items():
+                if w not in slot:
+                    slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
+                v[slot[w]] += n
+            out.append(v)
+        return pd.Series(out)
+
+    return embed_batch
 
 
 def embed(frame: DataFrame, text_col: str, out: str, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add a vector column; an embedder is a function from a text column to a vector column."""
-    return frame.withColumn(out, (embedder or hashing_embedding)(F.col(text_col)))
+    return frame.withColumn(out, (embedder or embedding_of())(F.col(text_col)))
 
 
 def map_controls(chunks: DataFrame, controls: DataFrame, chunk_id: str, chunk_text: str, control_id: str, control_text: str, k: int = 3, min_score: float = K.MIN_SCORE, embedder=None) -> DataFrame:
