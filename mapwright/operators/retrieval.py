@@ -108,28 +108,34 @@ def fuse(vector: DataFrame, keyword: DataFrame, query_id: str, chunk_id: str, k:
     return top(both, query_id, "rrf", chunk_id, k)
 
 
-def hashing_embedding(c: Column, size: int = 256) -> Column:
-    """Deterministic bag-of-words vector of a short text: counts of tokens by the first 32 bits of their md5."""
-    slots = F.transform(T.tokens(c), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % size)
-    # The array around the slots binds them, so that they are made once.
-    return F.get(F.transform(F.array(slots), lambda held: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(held, lambda x: x == i)).cast("double"))), F.lit(0))
+def _hashed(text: str | None, size: int, slot: dict[str, int]) -> np.ndarray:
+    """Counts of tokens by the first 32 bits of their md5."""
+    v = np.zeros(size)
+    for w, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+        if w not in slot:
+            slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
+        v[slot[w]] += n
+    return v
 
 
 def embedding_of(size: int = 256) -> Callable[[Column], Column]:
-    """The same vector for texts of any length, made in Arrow batches."""
+    """A deterministic bag-of-words vector of each text, made in Arrow batches."""
 
     @F.pandas_udf("array<double>")
     def embed_batch(texts: pd.Series) -> pd.Series:
         slot: dict[str, int] = {}
-        out = []
-        for t in texts:
-            v = np.zeros(size)
-            for w, n in Counter(re.findall(r"\w+", (t or "").lower())).items():
-                if w not in slot:
-                    slot[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % size
-                v[slot[w]] += n
-            out.append(v)
-        return pd.Series(out)
+        return pd.Series([_hashed(t, size, slot) for t in texts])
+
+    return embed_batch
+
+
+def embedding_of_each(size: int = 256) -> Callable[[Column], Column]:
+    """The same for arrays of texts."""
+
+    @F.pandas_udf("array<array<double>>")
+    def embed_batch(texts: pd.Series) -> pd.Series:
+        slot: dict[str, int] = {}
+        return pd.Series([[_hashed(t, size, slot) for t in ts] for ts in texts])
 
     return embed_batch
 

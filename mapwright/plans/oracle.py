@@ -171,8 +171,8 @@ r as (select vec_id as v, vec_id as c from embeddings union select e.b, r.c from
 t as (select vec_id, cluster, 'About ' || repeat('x', vec_id % 4) || label as description from k join embeddings using (vec_id)),
 u as (select cluster, string_agg(description, ' | ' order by length(description) desc, description) as unified_description from (select distinct cluster, description from t) group by cluster)
 select 'Title ' || min(vec_id) as theme, any_value(unified_description) as unified_description, string_agg('C-' || vec_id, ',' order by vec_id) as refs, cluster from t join u using (cluster) group by cluster""",
-    "detect_layout": f"""with {BLOCKS}, {EDGES}, c as (select doc_id, page, 1 + count_if(x - before >= 100) as c from gaps group by all), w as (select doc_id, page, avg((x0 + w) - x0) as w from blocks group by all)
-select doc_id, page, case when c = 1 then 'single_column' when c > 2 then 'table' when w < 150 then 'table' else 'dual_column' end as layout from c join w using (doc_id, page)""",
+    "detect_layout": f"""with {BLOCKS}, {EDGES}, k as (select doc_id, page, 1 + coalesce(count_if(x - before >= 100), 0) as clusters from gaps group by all), a as (select doc_id, page, avg((x0 + w) - x0) as width from blocks group by all)
+select doc_id, page, case when clusters = 1 then 'single_column' when clusters > 2 then 'table' when width < 150 then 'table' else 'dual_column' end as layout from k join a using (doc_id, page)""",
     "classify_margins": f"with {BLOCKS} select doc_id, pos, case when y0 < 70 then 'header' when y0 > 772 then 'footer' else 'body' end as role from blocks",
     "classify_blocks": f"""with {BLOCKS}, a as (select *, regexp_replace(lower({strip('text')}), '[0-9]+', '#', 'g') as sig, round_even(y0 / 20, 0) as yb, (min(y0) over p + max(y0) over p) / 2 as mid from blocks window p as (partition by doc_id, page)),
 g as (select doc_id, sig, yb, count(distinct page) as pages, arg_min(case when y0 < mid then 'header' else 'footer' end, pos) as rr from a group by all),
@@ -229,8 +229,8 @@ case when kind = 'MappingRationale' then confidence_score::double::varchar else
 case when kind = 'MappingRationale' then case compliance_level when 'fully_compliant' then '✅ Compliant' when 'partially_compliant' then '\U0001f7e1 Partially compliant' else '⚠️ Non-compliant' end || printf(' (%.2f)', confidence_score) when kind = 'InsufficientEvidence' then 'Insufficient evidence' else 'N/A' end as markdown,
 case when compliance_level = 'fully_compliant' then 'satisfied' when compliance_level = 'partially_compliant' then 'alternative' else 'not-satisfied' end as state from firsts""",
     "truncate_text": f"""with l as (select doc_id, {strip("replace(text, chr(10), ' ')")} as l, text from documents), c as (select *, left(text, 1200) as c from l),
-d as (select *, case when contains(c, '. ') then 1200 - instr(reverse(c), ' .') - 1 when c[-1] = '.' then 1199 else -1 end as at from c)
-select doc_id, case when length(l) > 150 then left(l, 147) || '...' else l end as short, md5(case when length(text) <= 1200 then text when at >= 600 then left(c, at + 1) else c || chr(10) || '[...truncated]' end) as cut_md5 from d""",
+d as (select *, case when contains(c, '. ') then 1200 - instr(reverse(c), ' .') - 1 when c[-1] = '.' then 1199 else -1 end as place from c)
+select doc_id, case when length(l) > 150 then left(l, 147) || '...' else l end as short, md5(case when length(text) <= 1200 then text when place >= 600 then left(c, place + 1) else c || chr(10) || '[...truncated]' end) as cut_md5 from d""",
     "prompt_text": f"""with t as (select conv_id, list(text order by turn, text) as t from conversations group by conv_id), f as (select conv_id, t, {strip("replace(t[1], chr(10), ' ')")} as l from t)
 select conv_id, md5(array_to_string([('### Chunk ' || (i - 1) || chr(10) || x) for x, i in t], chr(10))) as listing_md5, conv_id || ': Title. ' || case when length(l) > 150 then left(l, 147) || '...' else l end as prompt from f""",
     "oscal_flatten": """with c(place, control_id, title, description, requirement_family) as (values ('000000.000000', 'AC-1', 'Policy', 'Write it down.', 'Access Control'), ('000000.000000.000000', 'ac-1.1', 'Deeper', '', 'Access Control'), ('000000.000000.000000.000000', 'UNKNOWN', 'Deepest', '', 'Access Control'), ('000000.000001', 'ac-2', 'Accounts', '', 'Access Control'), ('000001.000000', 'au-2', 'Events', 'Log.', 'Audit'))
