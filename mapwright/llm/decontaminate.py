@@ -189,6 +189,6 @@ def find_contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold a benchmark item."""
+    """The documents without those that hold a benchmark item; rows that share an identifier, null included, go together."""
     found = find_contamination(docs, benchmark, id_col, **options).select(F.col(id_col).alias("hit")).distinct()
     return docs.join(found, docs[id_col].eqNullSafe(found["hit"]), "left_anti")

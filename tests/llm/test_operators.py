@@ -1,0 +1,330 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def corpus(seed=1, n=60):
+    """Texts with exact and near copies, shared passages and odd rows."""
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(400)] + ["Été", "l'eau", "3.14", "ÀÉ"]
+    text = lambda k: " ".join(r.choice(words) for _ in range(k))
+    base, passage = [text(r.randint(30, 120)) for _ in range(n // 3)], text(45)
+    rows = []
+    for i in range(n):
+        t = r.choice(base)
+        kind = i % 6
+        if kind == 1:
+            t = t.upper()
+        elif kind == 2:
+            ws = t.split()
+            for _ in range(2):
+                ws[r.randrange(len(ws))] = "zz"
+            t = " ".join(ws)
+        elif kind == 3:
+            t = text(20) + "\n" + passage + "\n" + text(20)
+        elif kind == 4:
+            t = text(r.randint(1, 8))
+        rows.append((i, t))
+    rows += [(n, None), (n + 1, ""), (n + 2, "   \t\n"), (n + 3, "one"), (n + 4, "One"), (n + 5, text(6000)), (None, base[0]), (n + 6, base[1]), (n + 6, base[1]), (n + 7, "x" * 50_000)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, key string")
+
+
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_exact_dedup(spark, documents, rows, digest_bytes):
+    from mapwright.llm.exact_dedup import exact_dedup
+
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[(t or "").translate(LOWER)].append(i)
+    for keep, pick in (("largest", max), ("smallest", min)):
+        got = exact_dedup(documents(rows), keep=keep, digest_bytes=digest_bytes).collect()
+        assert len(got) == len(rows)
+        ids = lambda g: [i for i in g if i is not None]
+        expected = Counter((i, pick(ids(g)) if ids(g) else None, len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g)
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == expected
+        assert sum(r["kept"] for r in got) == len(groups)
+    assert exact_dedup(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup(documents(rows), keep="any")
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def components(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in pairs if i is not None]
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+def test_jaccard(spark, documents, rows):
+    from mapwright.llm.jaccard import jaccard_components
+
+    got = jaccard_components(documents(rows)).collect()
+    assert len(got) == len(rows)
+    expected = components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == expected
+    assert jaccard_components(empty(spark)).count() == 0
+
+
+def test_jaccard_last_round_finds_what_proposals_miss(spark, documents, monkeypatch):
+    from mapwright.llm import jaccard
+
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    pairs = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"n{i}"
+        pairs.append((i, " ".join(w)))
+    expected = {i: c for i, (_, c) in components(pairs).items()}
+    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(documents(pairs)).collect()}
+    assert got == expected
+
+
+def test_bitmaps_bound_overlaps_from_above():
+    from mapwright.llm import jaccard
+
+    r = np.random.default_rng(3)
+    one = np.zeros(1, int)
+    for _ in range(200):
+        pool = r.integers(0, 2**63, 400, dtype=np.uint64)
+        a, b = np.unique(r.choice(pool, r.integers(1, 300))), np.unique(r.choice(pool, r.integers(1, 300)))
+        words = min(len(jaccard.bitmap(a)), len(jaccard.bitmap(b)))
+        bits = [jaccard.folded(jaccard.bitmap(s)[None, :], words) for s in (a, b)]
+        assert jaccard._most_shared(*bits, one, one, np.array([len(a)]), np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
+
+
+def test_chat_rotation(spark):
+    from mapwright.llm.chat import rotate_perspectives
+
+    rows = [(1, 0, "system", "Be."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo"), (1, 2, "bob", "Yo"), (1, None, "ann", "é"), (2, 0, None, None), (3, 0, "system", "x"), (None, 0, "ann", "n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash"))
+    got = rotate_perspectives(frame, part_turns=2).collect()
+    for r in got:
+        spans = [tuple(map(int, s.split(":"))) for s in r["mask"].split(",") if s]
+        assert sum(b - a for a, b in spans) == r["n_trained"]
+        for a, b in spans:
+            assert r["rendered"][:a].endswith("<|assistant|>\n") and r["rendered"][b:].startswith("<|end|>\n")
+    ann = {r["part"]: r["rendered"] for r in got if r["conv_id"] == 1 and r["perspective"] == "ann"}
+    assert ann == {0: "<|system|>\nBe.<|end|>\n<|assistant|>\nHi<|end|>\n", 1: "<|user name=bob|>\nYo<|end|>\n" * 2, None: "<|assistant|>\né<|end|>\n"}
+    assert {(r["conv_id"], r["perspective"]) for r in got} == {(1, "ann"), (1, "bob"), (2, "unknown"), (None, "ann")}
+    assert rotate_perspectives(frame.where("false")).count() == 0
+
+
+def test_line_templates(spark, documents):
+    from mapwright.llm.line_dedup import drop_recurring_lines
+
+    r = random.Random(2)
+    other = lambda: " ".join(r.choice("abcdefghijklmnop") * 3 for _ in range(9))
+    pairs = [(i, f"Page {i} of 9\nsent by mail from {other()[:3]} to the main desk\n\nown {i} {other()} end") for i in range(8)] + [(8, None), (9, ""), (9, ""), (None, "only here")]
+    got = {x["doc_id"]: x for x in drop_recurring_lines(documents(pairs)).collect()}
+    assert all(got[i]["n_lines"] == 4 and got[i]["n_dropped"] == 2 and got[i]["kept"].startswith("\nown") for i in range(8))
+    assert (got[8]["n_lines"], got[9]["n_lines"], got[9]["n_dropped"], got[None]["kept"]) == (0, 1, 0, "only here")
+    assert drop_recurring_lines(documents(pairs)).count() == len(pairs)
+    assert drop_recurring_lines(empty(spark)).count() == 0
+
+
+def test_mixing(spark, documents, rows):
+    from mapwright.llm.mixing import mix_sources
+
+    r = random.Random(5)
+    sources = ["b", "a", None, "c", "é"]
+    frame = spark.createDataFrame([(i, t, sources[r.choice([0, 0, 0, 1, 2, 3, 4])], "clash") for i, t in rows * 3], "doc_id long, text string, source string, size string")
+    got = mix_sources(frame, block=8).collect()
+    assert len(got) == 3 * len(rows)
+    words = Counter()
+    for x in got:
+        words[x["source"]] += x["size"]
+    order = sorted((s for s in words if s is not None)) + [s for s in (None,) if s in words]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, still, left = {}, set(order), float(sum(words.values()))
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in still) for s in still}
+        over = {s for s in still if share[s] > 3 * words[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * words[s]
+            left -= target[s]
+        still -= over
+    target |= share
+    taken = Counter()
+    for x in got:
+        assert x["target"] == pytest.approx(target[x["source"]]) and x["source_size"] == words[x["source"]]
+        assert x["taken"] == x["copies"] * x["size"] and 0 <= x["copies"] <= 3
+        taken[x["source"]] += x["taken"]
+    largest = max(x["size"] for x in got)
+    assert all(abs(taken[s] - target[s]) <= largest for s in order)
+    again = mix_sources(frame.repartition(3), block=8).collect()
+    key = lambda x: (x["doc_id"] or -1, x["source"] or "", x["size"], x["taken"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert mix_sources(empty(spark)).count() == 0
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(v):
+    d = [int(c) for c in v if c.isdigit()][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def base_spans(text):
+    n = lambda v: sum(c in "0123456789" for c in v)
+    rules = (("email", EMAIL, lambda v: True), ("ip", IP, lambda v: all(int(p) <= 255 for p in v.split("."))), ("card", CARD, lambda v: 13 <= n(v) <= 19 and luhn(v)), ("phone", PHONE, lambda v: 9 <= n(v) <= 15))
+    return [f"{k}:{m.start()}:{m.end()}" for k, rx, ok in rules for m in rx.finditer(text) if ok(m.group())]
+
+
+def test_pii_base_spans(spark, documents):
+    from mapwright.llm.pii import find_pii, joined
+
+    r = random.Random(7)
+    bits = ["a.b@c.de", "é", "@", "x@y", "a@b.c_d@e.f", "1.2.3.4", "1.2.3.4.5.6.7.8", "0300.1.1.1", "00255.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "4111111111111111", "5 5", "5  6", "+1 (017) 555-7713", "+1 2", "+44 1234 567890 12345", "--", ".", "+", "12", "日本", " ", "\n", "%", "4242 4242 4242 4242 7"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", "-"]) for _ in range(r.randint(1, 14))) for _ in range(400)] + [None, "", "1" * 20_000, "1 " * 10_000, "a" * 20_000, "." * 20_000, "a@" * 3000]
+    got = {x["doc_id"]: x["j"] for x in find_pii(documents([*enumerate(texts)])).select("doc_id", joined(F.col("spans")).alias("j")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == ",".join(base_spans(t or "")), t
+    assert find_pii(empty(spark)).count() == 0
+
+
+def test_pii_terms_that_disclose(spark, documents):
+    from mapwright.llm.pii import find_pii
+
+    pairs = [(i, f"The Zorblax wrote to zed@example.com about the plan {i}.") for i in range(4)] + [(10 + i, f"The plan of the day {i}, nothing about it.") for i in range(30)] + [(50, None), (50, None)]
+    got = {x["doc_id"]: x for x in find_pii(documents(pairs), with_text=True).collect()}
+    assert "Zorblax" not in got[0]["sanitised"] and "[EMAIL]" in got[0]["sanitised"] and "plan 0" in got[0]["sanitised"]
+    assert all(not got[i]["terms"] and got[i]["sanitised"] == f"The plan of the day {i - 10}, nothing about it." for i in range(10, 40))
+    assert find_pii(documents(pairs)).count() == len(pairs)
+
+
+def test_decontamination(spark, documents, rows):
+    from mapwright.llm.decontaminate import decontaminate, find_contamination
+
+    r = random.Random(9)
+    item = " ".join(f"q{r.randrange(50)}" for _ in range(30))
+    near = item.split()
+    near[1] = "odd"
+    far = [w if i % 4 else "odd" for i, w in enumerate(item.split())]
+    bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, "")], "item_id long, text string")
+    extra = [(900, "before " + item.upper() + " after"), (901, "x " + " ".join(near) + " y"), (902, " ".join(far)), (903, "a tiny item here"), (None, item)]
+    frame = documents(rows + extra)
+    got = {(x["doc_id"], x["item_id"]): x for x in find_contamination(frame, bench).collect()}
+    assert set(got) == {(900, 1), (901, 1), (903, 2), (None, 1)}
+    assert got[900, 1]["similarity"] == 1 and got[900, 1]["first_word"] == 1 and got[900, 1]["n_words"] == 30
+    assert 0.8 <= got[901, 1]["similarity"] < 1
+    assert decontaminate(frame, bench).count() == len(rows)  # with the row that shares the null identifier
+    assert find_contamination(frame, bench.where("false")).count() == 0
+    assert find_contamination(frame, bench, most_items=1).count() == 4
+    assert find_contamination(empty(spark), bench).count() == 0
+
+
+@pytest.mark.parametrize("shard_words", [40_000, 60])
+def test_substring_dedup(spark, documents, rows, shard_words):
+    from mapwright.llm.substring import remove_repeats
+
+    loop = " ".join(["ab", "cd", "ef"] * 40)
+    every = [x for x in rows if x[0] is not None] + [(500, loop), (501, loop + " tail")]
+    frame = documents([(None, loop)] + every)
+    seen, expected = set(), {}
+    for i, t in [(None, loop)] + sorted({x for x in every if x[1] is not None}) + [x for x in every if x[1] is None]:
+        w = WORD.findall(t or "")
+        gone, own = [False] * len(w), []
+        for j in range(len(w) - 19):
+            k = tuple(w[j : j + 20])
+            if k in seen or k in own:
+                gone[j : j + 20] = [True] * 20
+            own.append(k)
+        seen.update(own)
+        expected[i] = (len(w), sum(gone), " ".join(a for a, g in zip(w, gone, strict=True) if not g))
+    got = remove_repeats(frame, shard_words=shard_words).collect()
+    assert len(got) == len(every) + 1
+    for x in got:
+        assert (x["n_words"], x["n_removed"], x["kept"]) == expected[x["doc_id"]], x["doc_id"]
+    assert remove_repeats(empty(spark)).count() == 0
+
+
+def test_range_coder_round_trip():
+    from mapwright.llm import range_coder
+
+    r = np.random.default_rng(8)
+    blocks = [r.integers(0, 49408, 700), np.zeros(1000, int), r.integers(0, 20, 1024), np.array([65535]), np.array([], int), np.tile([5, 6, 7], 300)]
+    coded = range_coder.encode(blocks)
+    back = range_coder.decode([c[0] for c in coded], [len(b) for b in blocks], [c[1] for c in coded])
+    assert all((a == b).all() for a, b in zip(back, blocks, strict=True))
+    assert len(coded[1][0]) < 100 and len(coded[5][0]) < 250
+    assert (range_coder.decode([coded[2][0]], [1024])[0] == blocks[2]).all()
+    with pytest.raises(ValueError):
+        range_coder.decode([coded[2][0][:40] + b"\0\0" + coded[2][0][42:]], [1024], [coded[2][1]])
+
+
+def test_token_files(spark, documents, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mapwright.llm.token_output import tokens_round_trip
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = [(800, "it's O'Neil's <|endoftext|>x"), (801, "été ≠ 3.14abc 'll x\x1cq"), (802, "日本語 テスト!! ÑANDÚ... ǅ İ ΣΑΣ ×÷")]
+    every = rows + odd
+    got = tokens_round_trip(documents(every), path, block=64, segment_ids=300).orderBy("start").collect()
+    at = 0
+    for (i, t), x in zip(sorted(every, key=lambda p: (p[0] is not None, p[0] or 0, p[1] or "")), got, strict=True):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert (x["doc_id"], x["start"], x["n_tokens"], x["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert tokens_round_trip(empty(spark), path).count() == 0
+
+
+def test_quality(spark):
+    from mapwright.llm.quality import classify_quality
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    apart = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = classify_quality(docs, labels.where(~apart)).join(labels.where(apart), "doc_id").select("predicted", "quality").collect()
+    assert sum(r["predicted"] == r["quality"] for r in got) / len(got) > 0.9
+    assert sum(r["predicted"] for r in got if r["quality"] == 1) / sum(r["quality"] for r in got) > 0.97
+    few = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (2, "a b c")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    none = classify_quality(few, labels.where("false")).collect()
+    assert sorted(r["score"] for r in none) == [0.0, 0.0, 0.5, 0.5]
+    assert classify_quality(empty(spark), labels.where("false")).count() == 0
