@@ -67,7 +67,7 @@ def test_all_boilerplate_gives_nothing(spark):
         (C.merge_short, ["a", "b"], ["a b"]),
         (C.merge_short, [], []),
         (C.heal, ["It must be kept in", "The safe."], ["It must be kept in The safe."]),
-        (C.heal, ["It is open", "and goes on", "Done."], ["It is open and goes on", "Done."]),
+        (C.heal, ["It is open", "and goes along", "Done."], ["It is open and goes along", "Done."]),
         (C.heal, ["Closed.", "lower"], ["Closed.", "lower"]),
         (C.heal, ["x" * 90, "lower"], ["x" * 90, "lower"]),
         (C.heal, ["  ", "a"], ["a"]),
