@@ -442,7 +442,7 @@ def enrich_lexical(s, d):
     mapped = _mapped(s, d).where("doc_id is not null").join(docs, "doc_id").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))
     items = I.controls(s, d).join(mapped, "item_id", "left")
     ready = items.select(F.concat((F.col("item_id") % 5).cast("string"), F.lit("."), F.col("item_id").cast("string")).alias("control_id"), F.lit("BM").alias("framework"), F.lit("Item").alias("title"), F.col("item_text").alias("description"), F.coalesce("chunks", F.array().cast(X.CHUNKS)).alias("chunks"))
-    out = J.enrich(ready, J.LexicalJudge())
+    out = J.enrich(Scratch(s, "enrich").keep(ready, "mapped"), J.LexicalJudge())
     return out.select("control_id", "is_meta", F.size("chunks").alias("n_chunks"), "level", F.round("confidence", 4).alias("confidence"), "resolved_level")
 
 
