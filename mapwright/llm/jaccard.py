@@ -37,8 +37,8 @@ from mapwright.llm.common import Scratch
 from mapwright.llm.components import least_reachable
 from mapwright.llm.textbytes import mix64, runs, slices, word_bounds, word_hashes
 
-#: Bitmaps have at least twice as many bits as their set has shingles, within these bounds.
-LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Bitmaps have at least four times as many bits as their set has shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 256, 1 << 18
 #: A list of at most this many classes is sent to all tasks.
 MOST_SENT = 250_000
 #: Pivots of a tile in each of the rounds between the first and the last, and bytes of a sketch.
@@ -69,7 +69,7 @@ def set_key(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     """One bit for each shingle, hashed into places (which may coincide); sizes decide the width."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(s) - 1).bit_length())) if len(s) else LEAST_BITS
     place = np.unique((mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(width - 1)).astype(np.int64))
     out = np.zeros(width // 64, np.uint64)
     np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))

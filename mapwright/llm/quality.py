@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from mapwright.llm.textbytes import slices
 
-TERMS = 2048
+TERMS = 1024
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -36,7 +36,7 @@ def term_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(buf) < 3:
         return np.zeros((n, TERMS), np.float32)
     b = buf.astype(np.uint32)
-    h = ((b[:-2] * _A) ^ (b[1:-1] * _B) ^ (b[2:] * _C)) * _A >> np.uint32(21)
+    h = ((b[:-2] * _A) ^ (b[1:-1] * _B) ^ (b[2:] * _C)) * _A >> np.uint32(22)
     row = np.repeat(np.arange(n), np.diff(off))[:-2]
     at = row * TERMS + h
     crosses = np.zeros(len(buf) + 1, bool)
@@ -84,7 +84,7 @@ class Voter:
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, off in slices(batch.column("text")):
-            rows = [x.tobytes() for x in term_counts(buf, off)]
+            rows = [x.tobytes() for x in np.minimum(term_counts(buf, off), 65535).astype(np.uint16)]
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["label", "terms"])
 
 
@@ -97,8 +97,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The sample is bounded by 2 * per_class rows of two numbers.
     rows = texts.join(F.broadcast(sample), "id").select("label", "text").mapInArrow(_count_rows, "label int, terms binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["terms"])))
-    counts = np.frombuffer(b"".join(bytes(r["terms"]) for r in rows), np.float32).reshape(len(rows), TERMS)
-    return Voter(counts, np.array([r["label"] for r in rows], np.float32), **options)
+    counts = np.frombuffer(b"".join(bytes(r["terms"]) for r in rows), np.uint16).reshape(len(rows), TERMS)
+    labelled = np.array([r["label"] for r in rows], np.float32)
+    del rows
+    return Voter(counts.astype(np.float32), labelled, **options)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, voter: Voter | None = None, **options) -> DataFrame:
