@@ -31,7 +31,12 @@ def floored(level: Column, confidence: Column) -> Column:
 
 def parse_answer(raw: Column) -> Column:
     """A model's answer as a struct (kind, is_compliant, compliance_level, confidence_score, explanation, reason, required_context), null if unusable."""
-    a = F.from_json(T.json_object(raw), ANSWER)
+    # Arrays of one element bind the text and its parsed form, so that each is made once.
+    read = F.transform(F.array(T.json_object(raw)), lambda t: F.struct(F.from_json(t, ANSWER).alias("a"), (F.try_parse_json(t).isNotNull() & t.startswith("{")).alias("valid")))
+    return F.get(F.transform(read, lambda x: F.when(x["valid"], _verdict(x["a"]))), F.lit(0))
+
+
+def _verdict(a: Column) -> Column:
     none = lambda t: F.lit(None).cast(t)
 
     def made(kind, comp, level, conf, expl, reason, context):
@@ -51,11 +56,9 @@ def parse_answer(raw: Column) -> Column:
     final = floored(level, a["confidence_score"])
     rationale = made(RATIONALE, F.when(final != level, F.lit(True)).otherwise(comp), final, a["confidence_score"], a["explanation"], none("string"), none("string"))
     zero = lacking(F.coalesce(F.nullif(a["explanation"], F.lit("")), F.lit("Zero-confidence rationale.")), F.lit("Policy text directly addressing the control."))
-    parsed = F.when(a["type"] == RATIONALE, F.when(usable & (a["confidence_score"] == 0), zero).when(usable, rationale)).when(
+    return F.when(a["type"] == RATIONALE, F.when(usable & (a["confidence_score"] == 0), zero).when(usable, rationale)).when(
         a["type"] == INSUFFICIENT, F.when(a["reason"].isNotNull() & a["required_context"].isNotNull(), lacking(a["reason"], a["required_context"]))
     ).otherwise(lacking(F.lit("Invalid LLM output: unknown response type."), F.lit("Response must be MappingRationale or InsufficientEvidence.")))
-    valid = F.try_parse_json(T.json_object(raw)).isNotNull() & T.json_object(raw).startswith("{")
-    return F.when(valid, parsed)
 
 
 def parse_batch(frame: DataFrame, raw: str, expected: str, keys: list[str]) -> DataFrame:

@@ -76,7 +76,7 @@ blocks as (select doc_id, pos, text, pos // 40 + 1 as page,
 EDGES = "edges as (select distinct doc_id, page, round_even(x0, 0) as x from blocks), gaps as (select *, lag(x) over (partition by doc_id, page order by x) as before from edges)"
 
 VOTES = """
-votes as (select user_id, event_id, event_type, case length(event_type) % 3 when 0 then 'fully_compliant' when 1 then 'partially_compliant' else 'non_compliant' end as level, least(round(abs(value) / 200, 4), 1.0) as confidence from events),
+votes as (select user_id, event_id, event_type, case length(event_type) % 3 when 0 then 'fully_compliant' when 1 then 'partially_compliant' else 'non_compliant' end as level, least(floor(abs(value) * 50) / 10000, 1.0) as confidence from events),
 ord(level, o) as (values ('fully_compliant', 3), ('partially_compliant', 2), ('non_compliant', 1)),
 per as (select user_id, level, count(*) as n_votes from votes group by all),
 won as (select user_id, level, n_votes from per join ord using (level) qualify row_number() over (partition by user_id order by n_votes desc, o) = 1),
@@ -91,9 +91,9 @@ cov as (select user_id, count(*) as n_total, count_if(met) as n_covered, coalesc
 
 ANSWERS = """
 good as (select event_id, user_id, event_type, '{"type": "MappingRationale", "is_compliant": ' || case when event_id % 2 = 0 then 'true' else 'false' end || ', "compliance_level": "' || (['fully_compliant', 'partially_compliant', 'non_compliant', 'unknown'])[event_id % 4 + 1]
-  || '", "confidence_score": ' || printf('%.2f', least(round(abs(value) / 200, 2), 1.0)) || ', "explanation": "' || event_type || '"'
+  || '", "confidence_score": ' || printf('%.2f', least(floor(abs(value) / 2) / 100, 1.0)) || ', "explanation": "' || event_type || '"'
   || case when event_id % 5 = 0 then ', "sub_requirements": [{"requirement": "a", "covered": true}, {"requirement": "b", "covered": ' || case when event_id % 3 = 0 then 'true' else 'false' end || '}]' else '' end || '}' as g,
-  round(least(round(abs(value) / 200, 2), 1.0), 2) as conf from events),
+  round(least(floor(abs(value) / 2) / 100, 1.0), 2) as conf from events),
 kinds as (select event_id, user_id, event_type, g, conf, case when event_id % 11 in (0, 1, 2, 8, 9, 10) then 'good' when event_id % 11 = 3 then 'lack' when event_id % 11 = 6 then 'other' else 'bad' end as k,
   case when event_id % 5 = 0 then case when event_id % 3 = 0 then 'fully_compliant' else 'partially_compliant' end
        when event_id % 2 = 0 and event_id % 4 = 2 then 'fully_compliant'
@@ -144,7 +144,7 @@ select item_id, case when v is null then q else q || ' [' || v || ']' end as que
     "subrequirement_coverage": f"with {VOTES}, {SUBS} select * from cov",
     "aggregate_verdicts": f"""with {VOTES}, {SUBS}, f as (select b.user_id, b.level as old, b.confidence, c.level as computed, case when coalesce(c.level, '') = 'fully_compliant' and b.confidence < 0.7 then 'partially_compliant' else coalesce(c.level, b.level) end as level from best b left join cov c using (user_id))
 select user_id, level, level <> 'non_compliant' as is_compliant, round(confidence, 4) as confidence, coalesce(computed <> old, false) as changed from f""",
-    "sibling_resolution": f"""with {VOTES}, r as (select case when user_id % 3 = 0 then 'AC-' || (user_id % 100) else (user_id % 10) || '.' || user_id end as control_id, user_id % 5 = 0 as is_meta, case when user_id % 13 <> 0 then level end as level, round(round(confidence, 1), 1) as confidence, user_id as pos from best),
+    "sibling_resolution": f"""with {VOTES}, r as (select case when user_id % 3 = 0 then 'AC-' || (user_id % 100) else (user_id % 10) || '.' || user_id end as control_id, user_id % 5 = 0 as is_meta, case when user_id % 13 <> 0 then level end as level, floor(confidence * 10) / 10 as confidence, user_id as pos from best),
 f as (select *, case when contains(control_id, '.') then split_part(control_id, '.', 1) when contains(control_id, '-') then split_part(control_id, '-', 1) else control_id end as family from r),
 p as (select family, count(*) as n, count_if(level = 'fully_compliant') as nf, count_if(level = 'non_compliant') as nn, avg(confidence) as mean, string_agg(control_id, ', ' order by pos) filter (level = 'non_compliant') as ni, string_agg(control_id, ', ' order by pos) filter (level = 'partially_compliant') as pi from f where not is_meta and level is not null group by family),
 j as (select f.*, p.* exclude (family), is_meta and n is not null as takes from f left join p using (family))

@@ -125,7 +125,7 @@ def _results(s, d):
     best = V.best_rationale(I.votes(s, d), "user_id", pos="event_id")
     cid = F.concat(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("AC-"), F.col("user_id") % 100)).otherwise(F.concat((F.col("user_id") % 10).cast("string"), F.lit("."), F.col("user_id").cast("string"))))
     level = F.when(F.col("user_id") % 13 != 0, F.col("level"))
-    return best.select(cid.alias("control_id"), (F.col("user_id") % 5 == 0).alias("is_meta"), level.alias("level"), F.round(F.round("confidence", 1), 1).alias("confidence"), F.col("user_id").alias("pos"))
+    return best.select(cid.alias("control_id"), (F.col("user_id") % 5 == 0).alias("is_meta"), level.alias("level"), (F.floor(F.col("confidence") * 10) / 10).alias("confidence"), F.col("user_id").alias("pos"))
 
 
 @query

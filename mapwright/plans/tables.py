@@ -30,14 +30,14 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as verdicts: level from the type's length, confidence from the value."""
     n = F.length("event_type") % 3
     level = F.when(n == 0, "fully_compliant").when(n == 1, "partially_compliant").otherwise("non_compliant")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", level.alias("level"), F.least(F.round(F.abs("value") / 200, 4), F.lit(1.0)).alias("confidence"), "event_type")
+    return table(spark, sf_dir, "events").select("user_id", "event_id", level.alias("level"), F.least(F.floor(F.abs("value") * 50) / 10000, F.lit(1.0)).alias("confidence"), "event_type")
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as raw model answers, well formed and not."""
     e = table(spark, sf_dir, "events")
     flag = F.when(F.col("event_id") % 2 == 0, "true").otherwise("false")
-    conf = F.format_string("%.2f", F.least(F.round(F.abs("value") / 200, 2), F.lit(1.0)))
+    conf = F.format_string("%.2f", F.least(F.floor(F.abs("value") / 2) / 100, F.lit(1.0)))
     level = F.get(F.array(*[F.lit(x) for x in ("fully_compliant", "partially_compliant", "non_compliant", "unknown")]), (F.col("event_id") % 4).cast("int"))
     subs = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit(', "sub_requirements": [{"requirement": "a", "covered": true}, {"requirement": "b", "covered": '), F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.lit("}]"))).otherwise("")
     good = F.concat(F.lit('{"type": "MappingRationale", "is_compliant": '), flag, F.lit(', "compliance_level": "'), level, F.lit('", "confidence_score": '), conf, F.lit(', "explanation": "'), F.col("event_type"), F.lit('"'), subs, F.lit("}"))
