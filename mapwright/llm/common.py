@@ -1,53 +1,20 @@
-"""Shared pieces of the training-data operators: scratch tables, hashing, word counts."""
+"""Shared pieces of the training-data operators: hashing and word counts; scratch tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mapwright.scratch import Scratch, shared_dir
+
+__all__ = ["LOWER", "UPPER", "WORD", "Scratch", "ascii_lower", "shared_dir", "uniform", "word_count"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is one made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mapwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/mapwright-{label}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
-        """Write ``frame`` and return it as read back from the shared folder."""
-        frame.write.mode("overwrite").options(**options).parquet(self.path(name))
-        return self.spark.read.schema(frame.schema).parquet(self.path(name))
-
-    def drop(self, name: str = "") -> None:
-        """Delete one scratch table, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
