@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest identifier of each component."""
-    found = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = jaccard_components(docs, count_links=False).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_semi").select(*docs.columns)
 
 

@@ -13,8 +13,11 @@
    rounds hashed bitmap signatures decide who goes on: their bit counts bound
    the overlap from above. Nothing is capped.
 4. Proposed pairs are decided by exact intersection of the sorted hash arrays.
+5. Links are counted within the finished components, which hold them all: every two
+   classes of a component whose sizes allow a link are intersected, in blocks of
+   bounded size.
 
-Every pair of classes in one component need not be compared, but no link between
+Before the count, pairs of classes in one component need not be compared, but no link between
 classes of different components is lost: a pair that shares a posted shingle is
 either in one component already, ruled out by a bound, or compared.
 
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapwright.llm.common import Scratch
@@ -43,6 +46,8 @@ LEAST_BITS, MOST_BITS = 256, 1 << 18
 MOST_SENT = 250_000
 #: Pivots of a tile in each of the rounds between the first and the last, and bytes of a sketch.
 PIVOTS, PIVOT_ROUNDS, SKETCH = 32, 1, 64
+#: Shingles of a block in which links are counted; a class takes LEAST_ROOM of them at least.
+BLOCK, LEAST_ROOM = 1 << 21, 1 << 12
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -284,12 +289,69 @@ def _open_tiles(tiles: DataFrame, known: DataFrame, scratch: Scratch, name: str)
     return scratch.keep(placed.join(mixed, "token", "left_semi"), name)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, or of a if b is None."""
+    if b is None:
+        values, count = np.unique(np.concatenate(a), return_counts=True)
+        shared = values[count > 1]
+    else:
+        shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        hit = shared[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
+
+    out = np.zeros((len(a), len(a if b is None else b)), np.int64)
+    if not len(shared):
+        return out
+    sides = [cells(x) for x in ([a] if b is None else [a, b])]
+    step = max(1024, (1 << 23) // sum(out.shape))
+    for lo in range(0, len(shared), step):
+        width, marks = min(step, len(shared) - lo), []
+        for (row, at), n in zip(sides, out.shape, strict=False):
+            x, y = np.searchsorted(at, [lo, lo + width])
+            m = np.zeros((n, width), np.float32)  # sums below 2 ** 24 are exact
+            m[row[x:y], at[x:y] - lo] = 1
+            marks.append(m)
+        out += (marks[0] @ marks[-1].T).astype(np.int64)
+    return out
+
+
+def _degrees(percent: int):
+    """Links of each class of a unit: within one block (side 0), or between two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["unit", "side", "cls", "hashes"]):
+            cuts = np.r_[np.flatnonzero(np.r_[True, g["unit"][1:] != g["unit"][:-1]]), len(g["unit"])]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                blocks = []
+                for side in np.unique(g["side"][s:e]):
+                    at = s + np.flatnonzero(g["side"][s:e] == side)
+                    cls, first = np.unique(g["cls"][at], return_index=True)  # texts of one class
+                    blocks.append((cls, [np.frombuffer(g["hashes"][i], np.uint64) for i in at[first]]))
+                (ca, a), (cb, b) = blocks[0], blocks[-1]
+                common = _overlaps(a, b if len(blocks) > 1 else None)
+                na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+                link = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+                if len(blocks) > 1:
+                    cls, n = np.r_[ca, cb], np.r_[link.sum(1), link.sum(0)]
+                else:
+                    np.fill_diagonal(link, False)
+                    cls, n = ca, link.sum(1)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], names=["cls", "links"])
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """One row per input row: identifier, n_shingles, class_id, component_id, n_links.
 
     ``class_id`` is the smallest identifier with the same set, ``component_id``
-    the smallest reachable by links, ``n_links`` the verified links of the
-    class to other classes (those found; links inside a component suffice).
+    the smallest reachable by links, ``n_links`` the number of other classes
+    that the class links with (all of them; left out without ``count_links``).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -354,6 +416,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(held.toDF("a", "sa"), "a").join(held.toDF("b", "sb"), "b")
         return scratch.keep(both.select("a", "b", "sa", "sb").mapInArrow(_verify(percent), "a long, b long").distinct(), name)
 
+    def degrees() -> DataFrame:
+        """All links of each class, counted within its component."""
+        linked = classes.withColumnRenamed("key", "cls").join(final.withColumnRenamed("id", "cls"), "cls")
+        room = F.greatest("n", F.lit(LEAST_ROOM))
+        before = F.sum(room).over(Window.partitionBy("component").orderBy("n", "cls")) - room
+        counted = linked.withColumn("m", F.count("*").over(Window.partitionBy("component"))).withColumn("block", F.floor(before / BLOCK))
+        placed = scratch.keep(counted.select("id", "cls", "n", "component", "m", "block"), "placed")
+        blocks = placed.where("m > 2").groupBy("component", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        later = blocks.select("component", F.col("block").alias("other"), F.col("lo").alias("other_lo"))
+        meets = blocks.join(later, "component").where(f"other >= block and other_lo * {percent} <= hi * 100")
+        units = scratch.keep(meets.select("component", "block", "other", F.monotonically_increasing_id().alias("unit")), "units")
+        sides = units.select("component", "block", "unit", F.lit(0).alias("side")).unionByName(units.where("block <> other").select("component", F.col("other").alias("block"), "unit", F.lit(1).alias("side")))
+        wanted = placed.where("m > 2").select("id", F.col("cls").alias("key"))
+        few = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
+        held = base.join(few, "id").select("key", "text").mapInArrow(sets, "cls long, hashes binary")
+        dealt = held.join(placed.select("cls", "component", "block"), "cls").join(sides, ["component", "block"])
+        found = dealt.select("unit", "side", "cls", "hashes").repartition("unit").sortWithinPartitions("unit", "side", "cls").mapInArrow(_degrees(percent), "cls long, links long")
+        pairs = placed.where("m = 2").select("cls", F.lit(1).cast("long").alias("links"))  # two classes make a component by their link
+        return found.unionByName(pairs).groupBy("cls").agg(F.sum("links").alias("n_links"))
+
     links = verified(possible(proposed), "links-1")
     known = least_reachable(links, scratch, "cc-1")
     # Rounds of pivots join what is left of near-copy groups, so
@@ -370,10 +452,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     late = verified(last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links-2")
     every = links.unionByName(late)
     final = scratch.keep(least_reachable(every, scratch, "cc-2"), "components")
-    degree = every.select("a").unionByName(every.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "cls")
     member = classes.withColumnRenamed("key", "cls").join(final.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.col("n").alias("m"), F.col("id").alias("class_id"), F.coalesce("component", F.col("cls")).alias("component"))
     least = member.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = member.join(least, "component").join(degree, "cls", "left").drop("component")
+    named = member.join(least, "component").drop("component")
+    if count_links:
+        named = named.join(degrees(), "cls", "left")
     out = rows.join(named, (rows["key"] == named["cls"]) & (rows["n"] == named["m"]), "left")
     own = rows["id"]
-    return out.select(own.alias(id_col), rows["n"].alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select(own.alias(id_col), rows["n"].alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), *counted)

@@ -119,6 +119,29 @@ def test_jaccard_last_round_finds_what_proposals_miss(spark, documents, monkeypa
     assert got == expected
 
 
+@pytest.mark.parametrize("block", [1 << 21, 500])
+def test_jaccard_counts_all_links(spark, documents, rows, monkeypatch, block):
+    from mapwright.llm import jaccard
+
+    r = random.Random(6)
+    pairs = list(rows)
+    for i in range(40):
+        w = [f"b{j}" for j in range(60 + i % 7)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"n{i}"
+        pairs.append((1000 + i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in pairs if i is not None}
+    every = {s for s in sets.values() if s}
+    expected = {i: sum(s != x and 100 * len(s & x) >= 80 * len(s | x) for x in every) if s else 0 for i, s in sets.items()}
+    assert max(expected.values()) > 10
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LEAST_ROOM", 1)
+    got = jaccard.jaccard_components(documents(pairs)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got if x["doc_id"] is not None} == expected
+    plain = jaccard.jaccard_components(documents(pairs), count_links=False)
+    assert "n_links" not in plain.columns and plain.count() == len(pairs)
+
+
 def test_bitmaps_bound_overlaps_from_above():
     from mapwright.llm import jaccard
 
