@@ -3,16 +3,16 @@
 Base spans are e-mail and IP addresses, card and phone numbers, found by patterns.
 Around them, information theory decides: a term discloses an entity (a kind and
 value) as far as its point-wise mutual information with the entity reaches the
-entity's own information content. Both come from document counts over the
-whole corpus: documents with the entity, with the term, and with the term
-within ``reach`` characters of the entity. Terms are generalised from ``generalise`` of the
+entity's own information content. Both come from counts of distinct texts over the
+whole corpus: texts with the entity, with the term, and with the term
+within ``reach`` characters of the entity. Every pair that occurs is judged, those of
+one text too: a term that no other text holds gives its entity away in full. Terms are generalised from ``generalise`` of the
 entity's information on, and removed from ``remove`` on, near the entity they
-disclose. Terms seen with an entity in fewer than ``support`` documents say
-nothing yet, whatever their estimate.
+disclose.
 
-Defined results: a null text counts as empty; rows that repeat an identifier or
-a text are separate documents; a null identifier is kept as null; an entity in
-every document has no information to disclose; an empty table gives an empty
+Defined results: a null text counts as empty; rows that repeat a text count once
+but each has its row in the result; a null identifier is kept as null; an entity in
+every text has no information to disclose; an empty table gives an empty
 result. Other columns are not looked at.
 """
 
@@ -105,7 +105,6 @@ def find_pii(
     id_col: str = "doc_id",
     text_col: str = "text",
     reach: int = 60,
-    support: int = 3,
     generalise: float = 0.85,
     remove: float = 0.95,
     with_text: bool = False,
@@ -120,14 +119,18 @@ def find_pii(
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spanned = base.withColumn("row", F.monotonically_increasing_id()).withColumn("spans", base_spans(F.col("text")))
     near = F.when(F.size("spans") > 0, _near(F.col("text"), reach)).otherwise(F.array()).cast(TOKEN)
-    found = scratch.keep(spanned.select("row", "id", "spans", near.alias("near"), *(["text"] if with_text else [])), "found")
-
-    n_docs = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
-    pairs = scratch.keep(pairs.where(F.col("both") >= support), "pairs")
-    entities = found.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    digest = F.sha2(F.col("text"), 256).alias("digest")
+    found = scratch.keep(spanned.select("row", "id", "spans", near.alias("near"), digest, *(["text"] if with_text else [])), "found")
+
+    # Copies of a text say no more than the text does.
+    once = found.select("digest", "spans", "near").dropDuplicates(["digest"])
+    n_docs = found.select("digest").distinct().count()
+    pairs = once.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
+    pairs = scratch.keep(pairs, "pairs")
+    entities = once.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = pairs.select("term").distinct()
-    words = base.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    texts = base.select("text", digest).dropDuplicates(["digest"])
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     # An inner join: the optimiser would move a semi-join below the count, onto every word.
     counted = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
     content = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
@@ -136,7 +139,7 @@ def find_pii(
     judged = judged.select("entity", "term", F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise").alias("act"))
     spots = found.select("row", F.explode("near").alias("t")).select("row", "t.*").join(judged, ["entity", "term"])
     per_row = spots.groupBy("row", "s", "e").agg(F.max("act").alias("act")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("act").alias("v")))).cast(SPAN).alias("terms"))
-    out = found.drop("near").join(per_row, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    out = found.drop("near", "digest").join(per_row, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
     if with_text:
         out = out.withColumn("sanitised", sanitised("text", "spans", "terms"))
     return out.drop("row").withColumnRenamed("id", id_col)

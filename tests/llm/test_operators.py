@@ -259,6 +259,19 @@ def test_pii_terms_that_disclose(spark, documents):
     assert find_pii(documents(pairs)).count() == len(pairs)
 
 
+def test_pii_terms_of_one_document(spark, documents):
+    from mapwright.llm.pii import find_pii
+
+    pairs = [(0, "The Zorblax wrote to zed@example.com about the plan.")] + [(10 + i, f"The plan of the day {i}, nothing about it.") for i in range(30)]
+    copies = [(100 + i, pairs[0][1]) for i in range(5)] + [(200 + i, pairs[1][1]) for i in range(20)]
+    got = {x["doc_id"]: x for x in find_pii(documents(pairs + copies), with_text=True).collect()}
+    assert len(got) == len(pairs + copies)
+    assert "Zorblax" not in got[0]["sanitised"] and "about the plan" in got[0]["sanitised"]
+    alone = {x["doc_id"]: x["terms"] for x in find_pii(documents(pairs)).collect()}
+    assert all(got[i]["terms"] == alone[i] for i, _ in pairs)  # copies change no estimate
+    assert all(got[i]["terms"] == got[0]["terms"] for i in range(100, 105))
+
+
 def test_decontamination(spark, documents, rows):
     from mapwright.llm.decontaminate import decontaminate, find_contamination
 
