@@ -284,7 +284,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "id", "mark", "lo", "words"])
 
     contexts = base.select("id", "text").join(wanted, "id").select("id", "text", "wanted").mapInArrow(cut_out, "anchor long, id long, mark long, lo int, words binary")
-    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "mark", "lo")
+    # Rows that repeat identifier and text give a context once.
+    contexts = contexts.repartition("anchor").dropDuplicates(["anchor", "id", "mark", "lo"]).sortWithinPartitions("anchor", "id", "mark", "lo")
     repeats = contexts.mapInArrow(_stream(window, shard_words), "id long, mark long, lo int, n int").unionByName(judged.where("not open").select("id", "mark", "lo", "n"))
     # A document's repeats are at most its windows.
     per_doc = scratch.keep(repeats.groupBy("id").agg(F.collect_list(F.struct("mark", "lo", "n")).alias("gone")), "repeats").withColumnRenamed("id", "gone_id")

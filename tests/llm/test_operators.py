@@ -318,6 +318,15 @@ def test_substring_dedup(spark, documents, rows, shard_words):
     assert remove_repeats(empty(spark)).count() == 0
 
 
+def test_substring_keeps_a_repeated_first_holder(spark, documents):
+    from mapwright.llm.substring import remove_repeats
+
+    passage = " ".join(f"p{i}" for i in range(40))
+    pairs = [(1, f"a1 a2 {passage} a3 a4")] * 2 + [(i, f"x{i} y{i} {passage} z{i} v{i}") for i in (2, 3)]
+    got = sorted((x["doc_id"], x["n_removed"]) for x in remove_repeats(documents(pairs)).collect())
+    assert got == [(1, 0), (1, 0), (2, 40), (3, 40)]
+
+
 def test_range_coder_round_trip():
     from mapwright.llm import range_coder
 
