@@ -101,24 +101,6 @@ def test_jaccard(spark, documents, rows):
     assert jaccard_components(empty(spark)).count() == 0
 
 
-def test_jaccard_last_round_finds_what_proposals_miss(spark, documents, monkeypatch):
-    from mapwright.llm import jaccard
-
-    r = random.Random(4)
-    base = [f"b{i}" for i in range(60)]
-    pairs = []
-    for i in range(40):
-        w = list(base)
-        for _ in range(r.randint(0, 3)):
-            w[r.randrange(len(w))] = f"n{i}"
-        pairs.append((i, " ".join(w)))
-    expected = {i: c for i, (_, c) in components(pairs).items()}
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 0)
-    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
-    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(documents(pairs)).collect()}
-    assert got == expected
-
-
 @pytest.mark.parametrize("block", [1 << 21, 500])
 def test_jaccard_counts_all_links(spark, documents, rows, monkeypatch, block):
     from mapwright.llm import jaccard
@@ -138,21 +120,65 @@ def test_jaccard_counts_all_links(spark, documents, rows, monkeypatch, block):
     monkeypatch.setattr(jaccard, "LEAST_ROOM", 1)
     got = jaccard.jaccard_components(documents(pairs)).collect()
     assert {x["doc_id"]: x["n_links"] for x in got if x["doc_id"] is not None} == expected
-    plain = jaccard.jaccard_components(documents(pairs), count_links=False)
-    assert "n_links" not in plain.columns and plain.count() == len(pairs)
 
 
 def test_bitmaps_bound_overlaps_from_above():
     from mapwright.llm import jaccard
 
     r = np.random.default_rng(3)
-    one = np.zeros(1, int)
-    for _ in range(200):
+    for _ in range(40):
         pool = r.integers(0, 2**63, 400, dtype=np.uint64)
-        a, b = np.unique(r.choice(pool, r.integers(1, 300))), np.unique(r.choice(pool, r.integers(1, 300)))
-        words = min(len(jaccard.bitmap(a)), len(jaccard.bitmap(b)))
-        bits = [jaccard.folded(jaccard.bitmap(s)[None, :], words) for s in (a, b)]
-        assert jaccard._most_shared(*bits, one, one, np.array([len(a)]), np.array([len(b)]))[0] >= len(np.intersect1d(a, b))
+        a, b = ([np.unique(r.choice(pool, r.integers(150, 300))) for _ in range(n)] for n in (5, 7))
+        exact = np.array([[100 * len(np.intersect1d(x, y)) >= 40 * len(np.union1d(x, y)) for y in b] for x in a])
+        maps_a, maps_b = ([jaccard.bitmap(x) for x in side] for side in (a, b))
+        na, nb = (np.array([len(x) for x in side]) for side in (a, b))
+        assert (jaccard.may_link(maps_a, na, maps_b, nb, 40) >= exact).all()
+        assert (jaccard.linked(a, b, 40) == exact).all()
+
+
+def test_jaccard_of_a_large_group(spark, documents, monkeypatch):
+    """Thousands of near copies around the threshold, in several blocks, batches and tiles."""
+    from mapwright.llm import jaccard
+
+    r = random.Random(11)
+    base = [f"b{j}" for j in range(80)]
+    pairs = []
+    for i in range(2000):
+        w = list(base)
+        for j in r.sample(range(80), r.choice([1, 2, 2, 3])):
+            w[j] = f"n{i}"
+        pairs.append((i, " ".join(w[: r.choice([80, 80, 78, 70])])))
+    sets = {i: shingles(t) for i, t in pairs}
+    vocabulary = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    mark = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for i, s in sets.items():
+        mark[i, [vocabulary[x] for x in s]] = 1
+    both, size = mark @ mark.T, mark.sum(1)
+    distinct = {s: i for i, s in reversed(sets.items())}
+    first = np.zeros(len(sets), bool)
+    first[list(distinct.values())] = True
+    link = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    twin = np.array([distinct[sets[i]] for i in range(len(sets))])
+    links = (link & first[None, :] & (twin[:, None] != np.arange(len(sets))[None, :])).sum(1)
+    monkeypatch.setattr(jaccard, "BLOCK", 40_000)
+    monkeypatch.setattr(jaccard, "LEAST_ROOM", 1)
+    monkeypatch.setattr(jaccard, "MOST_SENT", 0)
+    got = jaccard.jaccard_components(documents(pairs)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == dict(enumerate(links.tolist()))
+    component = np.arange(len(sets))
+    for _ in range(len(sets)):
+        before, component = component, np.where(link, component[None, :], len(sets)).min(1)
+        if (before == component).all():
+            break
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(component.tolist()))
+
+
+def test_jaccard_of_repeated_identifiers(spark, documents):
+    from mapwright.llm.jaccard import jaccard_components
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_components(documents([(0, a), (1, a), (1, b), (3, b), (4, a + " x y z")])).collect()}
+    assert got == {0: 0, 1: 0, 3: 0, 4: 4}
 
 
 def test_chat_rotation(spark):
