@@ -5,9 +5,15 @@ rows (``per_class`` of each class, those with the smallest hash of their
 identifier) gives term weights and a truncated singular value decomposition; its
 vectors, at most ``2 * per_class`` of ``rank`` numbers, are broadcast. Every
 document is projected and compared with all of them by blocked matrix products,
-so the cosines are exact; the nearest ``k`` vote with weights that grow with similarity.
+so the cosines are exact, to DIGITS places; the nearest ``k`` and all that tie with the
+last of them vote with weights that grow with similarity. A score depends on the text and
+the model alone, not on the rows around it.
 
-Defined results: null and empty texts score 0; without labelled rows of both
+The sample's terms are counted where its texts are and fitted in one task, whose rows
+the sample bounds; only the model, a few MB, passes through the driver.
+
+Defined results: null and empty texts score 0; texts too short for a term score the
+share of label 1 in the sample; without labelled rows of both
 classes every other document scores the share of label 1 among those there are
 (0.5 if none); labels that repeat an identifier count once each; a null label
 is not used; a null identifier is scored but never a training row. Columns of
@@ -16,6 +22,7 @@ the input besides identifier and text play no part.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +33,34 @@ from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from mapwright.llm.textbytes import slices
 
-TERMS = 1024
+TERMS = 2048
+#: Places to which cosines count, so that equal texts tie whatever block they are in.
+DIGITS = 5
+#: Rows and bytes that are counted at once.
+ROWS, BYTES = 512, 1 << 21
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
 def term_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Counts of hashed byte trigrams, (rows, TERMS) float32."""
+    """Counts of hashed byte trigrams within each row, (rows, TERMS) float32."""
     n = len(off) - 1
-    if len(buf) < 3:
-        return np.zeros((n, TERMS), np.float32)
-    b = buf.astype(np.uint32)
-    h = ((b[:-2] * _A) ^ (b[1:-1] * _B) ^ (b[2:] * _C)) * _A >> np.uint32(22)
-    row = np.repeat(np.arange(n), np.diff(off))[:-2]
-    at = row * TERMS + h
-    crosses = np.zeros(len(buf) + 1, bool)
-    crosses[np.maximum(off[1:] - 1, 0)] = True
-    crosses[np.maximum(off[1:] - 2, 0)] = True
-    return np.bincount(at[~crosses[: len(at)]], minlength=n * TERMS).reshape(n, TERMS).astype(np.float32)
+    out = np.zeros(n * TERMS, np.int64)
+    row = np.repeat(np.arange(n), np.diff(off))
+    for lo in range(0, len(buf) - 2, BYTES):
+        b = buf[lo : lo + BYTES + 2].astype(np.uint32)
+        h = ((b[:-2] * _A) ^ (b[1:-1] * _B) ^ (b[2:] * _C)) * _A >> np.uint32(32 - TERMS.bit_length() + 1)
+        first = row[lo : lo + len(h)]
+        whole = first == row[lo + 2 : lo + 2 + len(h)]
+        out += np.bincount(first[whole] * TERMS + h[whole], minlength=n * TERMS)
+    return out.reshape(n, TERMS).astype(np.float32)
+
+
+def counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, counts, which are empty) of runs of a batch's rows."""
+    for lo, hi, buf, off in slices(column):
+        for x in range(0, hi - lo, ROWS):
+            part = off[x : x + ROWS + 1]
+            yield lo + x, term_counts(buf[part[0] : part[-1]], part - part[0]), np.diff(part) == 0
 
 
 class Voter:
@@ -71,21 +89,30 @@ class Voter:
     def score(self, counts: np.ndarray, empty: np.ndarray) -> np.ndarray:
         if not len(self.vectors):
             return np.where(empty, 0.0, self.prior)
-        got = np.empty(len(counts))
-        for lo in range(0, len(counts), 256):
-            cosine = self._unit(self._weigh(counts[lo : lo + 256]) @ self.basis) @ self.vectors.T
-            k = min(self.k, cosine.shape[1])
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k] if k < cosine.shape[1] else np.tile(np.arange(k), (len(cosine), 1))
-            w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3).astype(np.float64) ** self.power
-            got[lo : lo + 256] = (w * self.labels[near]).sum(1) / w.sum(1)
+        cosine = np.round(self._unit(self._weigh(counts) @ self.basis) @ self.vectors.T, DIGITS)
+        k = min(self.k, cosine.shape[1])
+        last = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        weight = np.where(cosine >= last, np.maximum(cosine, 1e-3).astype(np.float64), 0.0) ** self.power
+        got = (weight * self.labels).sum(1) / weight.sum(1)
+        got[counts.sum(1) == 0] = self.prior
         return np.where(empty, 0.0, np.clip(got, 0.0, 1.0))
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, off in slices(batch.column("text")):
-            rows = [x.tobytes() for x in np.minimum(term_counts(buf, off), 65535).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, hi - lo), pa.array(rows, pa.binary())], names=["label", "terms"])
+        for lo, counts, _ in counted(batch.column("text")):
+            rows = [x.tobytes() for x in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, len(rows)), pa.array(rows, pa.binary())], names=["label", "terms"])
+
+
+def _fit_rows(options: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((label, terms) for batch in batches for label, terms in zip(batch.column("label").to_pylist(), batch.column("terms").to_pylist(), strict=True))
+        counts = np.frombuffer(b"".join(x[1] for x in rows), np.float32).reshape(len(rows), TERMS)
+        voter = Voter(counts, np.array([x[0] for x in rows], np.float32), **options)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(voter)], pa.binary())], names=["model"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2048, **options) -> Voter:
@@ -95,28 +122,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = usable.where("label = 0").orderBy(*order).limit(per_class).unionByName(usable.where("label = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # The sample is bounded by 2 * per_class rows of two numbers.
-    rows = texts.join(F.broadcast(sample), "id").select("label", "text").mapInArrow(_count_rows, "label int, terms binary").collect()
-    rows.sort(key=lambda r: (r["label"], bytes(r["terms"])))
-    counts = np.frombuffer(b"".join(bytes(r["terms"]) for r in rows), np.uint16).reshape(len(rows), TERMS)
-    labelled = np.array([r["label"] for r in rows], np.float32)
-    del rows
-    return Voter(counts.astype(np.float32), labelled, **options)
-
-
-def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, voter: Voter | None = None, **options) -> DataFrame:
-    """The input's columns with score (double, 0 to 1) and predicted (int)."""
+    rows = texts.join(F.broadcast(sample), "id").select("label", "text").mapInArrow(_count_rows, "label int, terms binary")
+    models = rows.repartition(1).mapInArrow(_fit_rows(options), "model binary").collect()
+    return pickle.loads(bytes(models[0]["model"])) if models else Voter(np.zeros((0, TERMS), np.float32), np.zeros(0, np.float32), **options)
+
+
+def classify_quality(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.3,
+    voter: Voter | None = None,
+    score_col: str = "score",
+    predicted_col: str = "predicted",
+    **options,
+) -> DataFrame:
+    """The input's columns with score (double, 0 to 1) and predicted (int), which replace columns of these names."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(voter or fit(docs, labels, id_col, text_col, **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, got = batch.column(batch.schema.names.index(text_col)), []
-            for _, _, buf, off in slices(column):
-                got.append(model.value.score(term_counts(buf, off), np.diff(off) == 0))
+            got = [model.value.score(counts, empty) for _, counts, empty in counted(batch.column(batch.schema.names.index(text_col)))]
             scores = np.concatenate(got) if got else np.zeros(0)
             arrays = [*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, score_col, predicted_col])
 
-    base = docs.drop("score", "predicted")
-    schema = StructType([*base.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType())
+    base = docs.drop(score_col, predicted_col)
+    schema = StructType([*base.schema.fields]).add(score_col, DoubleType()).add(predicted_col, IntegerType())
     return base.mapInArrow(score, schema)
