@@ -313,12 +313,65 @@ def test_decontamination(spark, documents, rows):
     assert set(got) == {(900, 1), (901, 1), (903, 2), (None, 1)}
     assert got[900, 1]["similarity"] == 1 and got[900, 1]["first_word"] == 1 and got[900, 1]["n_words"] == 30
     assert 0.8 <= got[901, 1]["similarity"] < 1
-    assert decontaminate(frame, bench).count() == len(rows)  # with the row that shares the null identifier
+    assert decontaminate(frame, bench).count() == len(rows) + 1  # 902 stays
     assert find_contamination(frame, bench.where("false")).count() == 0
     assert find_contamination(frame, bench, most_items=1).count() == 4
     assert find_contamination(empty(spark), bench).count() == 0
 
 
+def test_decontamination_recall_against_brute_force(spark, documents, monkeypatch):
+    """Items changed up to the threshold, in texts long enough for several pieces: at least 0.9 of the pairs are found."""
+    from mapwright.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    r = random.Random(21)
+    items = [[f"i{r.randrange(3000)}" for _ in range(r.choice([12, 25, 40, 90]))] for _ in range(40)]
+    texts = []
+    for i in range(300):
+        w = list(r.choice(items))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = f"o{i}"
+        texts.append(" ".join([f"b{r.randrange(900)}" for _ in range(r.randrange(150))] + w + [f"b{r.randrange(900)}" for _ in range(r.randrange(150))]))
+    loop = ["lo", "op"] * 300
+    texts.append(" ".join(loop * 20))
+    items.append(loop[:30])
+    many = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    expected = {}
+    for d, t in enumerate(texts[:-1]):
+        words = t.split()
+        for i, item in enumerate(items):
+            own = many(item)
+            if not own & many(words):
+                continue
+            best = 0
+            for j in range(len(words) - len(item) + 1):
+                both = sum((many(words[j : j + len(item)]) & own).values())
+                best = max(best, both / (2 * (len(item) - 4) - both))
+            if best >= 0.8:
+                expected[d, i] = best
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(0, " ".join(items[0]))], "item_id long, text string")
+    rows = decontaminate.find_contamination(documents([*enumerate(texts)]), bench).collect()
+    got = {(x["doc_id"], x["item_id"]): x for x in rows}
+    assert len(got) == len(rows) and got[300, 40]["similarity"] == 1 and got[300, 40]["first_word"] == 0
+    pairs = {p for p in got if p[0] < 300}
+    assert pairs <= set(expected) and len(expected) > 60
+    assert len(pairs) >= 0.99 * len(expected)
+    assert sum(abs(got[p]["similarity"] - expected[p]) < 1e-9 for p in pairs) >= 0.98 * len(pairs)
+
+
+def test_hamming_blocks_hold_every_item_within_the_radius():
+    from mapwright.llm.decontaminate import SizeIndex
+
+    r = np.random.default_rng(5)
+    prints = r.integers(0, 256, (30, 8), dtype=np.uint8)
+    windows = prints[r.integers(0, 30, 400)]
+    flips = np.packbits((r.random((400, 64)) < r.random((400, 1)) * 0.5).astype(np.uint8), axis=1)
+    windows = windows ^ flips
+    apart = np.bitwise_count(windows[:, None, :] ^ prints[None]).sum(2)
+    got = {*zip(*map(np.ndarray.tolist, SizeIndex(prints, np.arange(30), 20).candidates(windows)), strict=True)}
+    assert got == {*zip(*map(np.ndarray.tolist, np.nonzero(apart <= 20)), strict=True)} and len(got) > 100
+
+
 @pytest.mark.parametrize("shard_words", [40_000, 60])
 def test_substring_dedup(spark, documents, rows, shard_words):
     from mapwright.llm.substring import remove_repeats
@@ -399,3 +452,39 @@ def test_quality(spark):
     none = classify_quality(few, labels.where("false")).collect()
     assert sorted(r["score"] for r in none) == [0.0, 0.0, 0.5, 0.5]
     assert classify_quality(empty(spark), labels.where("false")).count() == 0
+
+
+def test_quality_scores_are_the_text_s_own(spark):
+    """Every score against a plain vote, whatever the rows around a text."""
+    from mapwright.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    voter = quality.fit(docs, labels)
+    odd = [(-1, ""), (-2, "the cat"), (-3, "ab"), (-4, None), (-5, "hello world"), (-6, "x"), (-7, "the cat"), (-8, "long " * 900_000)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+
+    def plain(text):
+        raw = (text or "").encode()
+        counts = np.zeros(quality.TERMS, np.float32)
+        for i in range(len(raw) - 2):
+            a, b, c = raw[i : i + 3]
+            counts[((((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> 21] += 1
+        if not raw:
+            return 0.0
+        if not counts.any():
+            return voter.prior
+        x = np.log1p(counts) * voter.weight
+        x = (x / np.linalg.norm(x)) @ voter.basis
+        cosine = np.round(voter.vectors @ (x / np.linalg.norm(x)), quality.DIGITS)
+        near = np.flatnonzero(cosine >= np.sort(cosine)[-15])
+        w = np.maximum(cosine[near], 1e-3).astype(float) ** 8
+        return float((w * voter.labels[near]).sum() / w.sum())
+
+    got = {r["doc_id"]: r["score"] for r in quality.classify_quality(every, labels, voter=voter).collect()}
+    assert len(got) == docs.count() + len(odd)
+    close = [abs(got[r["doc_id"]] - plain(r["text"])) < 1e-3 for r in every.where("doc_id > -8").collect()]
+    assert sum(close) >= 0.98 * len(close)  # digits at a boundary may fall either way
+    assert all(abs(got[i] - plain(dict(odd)[i])) < 1e-3 for i in (-1, -2, -3, -4, -5, -6))
+    again = {r["doc_id"]: r["score"] for r in quality.classify_quality(every.orderBy(F.xxhash64("doc_id")).repartition(5), labels, voter=voter).collect()}
+    assert max(abs(again[i] - got[i]) for i in got) < 1e-3 and got[-2] == got[-7]
