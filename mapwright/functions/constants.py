@@ -8,10 +8,10 @@ BOILERPLATE = (
 
 # Words that leave a clause open.
 TRAILING_WORDS = (
-    "of for in to with from by at on into about between through within without including "
-    "the a an all any each every this that and or nor but "
-    "be is are was were been being must shall should will would can could may not also than"
-).split()
+    "of", "for", "in", "to", "with", "from", "by", "at", "on", "into", "about", "between", "through", "within", "without", "including",
+    "the", "a", "an", "all", "any", "each", "every", "this", "that", "and", "or", "nor", "but",
+    "be", "is", "are", "was", "were", "been", "being", "must", "shall", "should", "will", "would", "can", "could", "may", "not", "also", "than",
+)
 
 # Descriptions of governance requirements.
 META_ALL = r"(?is)all\s+security\s+policies\s+and\s+operational\s+procedures.*(?:documented|kept\s+up\s+to\s+date|in\s+use|known\s+to\s+all)"
@@ -54,3 +54,18 @@ RRF_K = 60
 MIN_SCORE = 0.55
 CONFIDENCE_FLOOR = 0.7
 LEVELS = {"fully_compliant": 3, "partially_compliant": 2, "non_compliant": 1}
+
+# Messages for answers that can't be used, each with what would be needed.
+ZERO_CONFIDENCE = ("Zero-confidence rationale.", "Policy text directly addressing the control.")
+UNKNOWN_TYPE = ("Invalid LLM output: unknown response type.", "Response must be MappingRationale or InsufficientEvidence.")
+MISSING_ELEMENT = ("Missing batch element in LLM response.", "One evaluation per chunk.")
+NO_OBJECT = ("Invalid batch element: not a JSON object.", "Each element must be a valid JSON object.")
+UNPARSED_ELEMENT = ("Failed to parse batch element.", "A valid MappingRationale or InsufficientEvidence.")
+RETRIES_SPENT = ("Invalid LLM output after retries.", "A well-formed JSON response from the LLM.")
+
+# Explanations of verdicts taken from siblings, and of corrected ones.
+SIBLINGS_NONE = "Inferred from sibling controls: all <<n>> evaluated controls in Requirement <<family>> are non-compliant (<<ids>>). This governance requirement cannot be met."
+SIBLINGS_FULL = "Inferred from sibling controls: all <<n>> evaluated controls in Requirement <<family>> are compliant. Aggregated confidence from sibling assessments."
+SIBLINGS_MIXED = "Inferred from sibling controls: <<full>> of <<n>> evaluated controls in Requirement <<family>> are fully compliant. Gaps remain in <<ids>>."
+COMBINED_ALL = "Combined evidence from <<chunks>> chunks covers all <<n>> sub-requirements: <<texts>>"
+COMBINED_SOME = "Combined evidence from <<chunks>> chunks covers <<covered>>/<<n>> sub-requirements. Missing: <<texts>>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,18 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A text with its <<names>> replaced by columns."""
+    parts = re.split(r"<<(\w+)>>", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def truth(raw: Column, field: str, unreadable: bool) -> Column:
+    """A flag of the JSON object in a model's answer; false where the object lacks it."""
+    found = json_object(raw)
+    readable = F.coalesce(F.try_parse_json(found).isNotNull() & found.startswith("{"), F.lit(False))
+    value = F.get_json_object(found, f"$.{field}")
+    told = F.coalesce(~F.lower(value).isin("false", "", "0", "0.0", "null", "[]", "{}"), F.lit(False))
+    return F.when(readable, told).otherwise(F.lit(unreadable))

@@ -145,9 +145,32 @@ def embed(frame: DataFrame, text_col: str, out: str, embedder: Callable[[Column]
     return frame.withColumn(out, (embedder or embedding_of())(F.col(text_col)))
 
 
-def map_controls(chunks: DataFrame, controls: DataFrame, chunk_id: str, chunk_text: str, control_id: str, control_text: str, k: int = 3, min_score: float = K.MIN_SCORE, embedder=None) -> DataFrame:
-    """Every control with its chunks that both lists rank and whose score suffices: (control, chunk or null, score, rank)."""
+def control_queries(controls: DataFrame, text: str, family: str | None = None) -> DataFrame:
+    """Adds what a control is looked up by: keyword_query, widened by family and concepts, and vector_query, with an instruction before it."""
+    plain = T.with_family(F.col(family), F.col(text)) if family else F.col(text)
+    wide = controls.withColumn("keyword_query", T.expand_query(plain))
+    return wide.withColumn("vector_query", T.embedding_query(F.col("keyword_query")))
+
+
+def map_controls(
+    chunks: DataFrame,
+    controls: DataFrame,
+    chunk_id: str,
+    chunk_text: str,
+    control_id: str,
+    control_text: str,
+    k: int = 3,
+    min_score: float = K.MIN_SCORE,
+    embedder=None,
+    vector_text: str | None = None,
+    chunk_vector: str | None = None,
+) -> DataFrame:
+    """Every control with its chunks that both lists rank and whose score suffices: (control, chunk or null, score, rank).
+
+    ``vector_text`` is what is embedded of a control, if not its text; ``chunk_vector`` names vectors that the chunks have already.
+    """
     keyword = bm25_top(chunks, controls, chunk_id, chunk_text, control_id, control_text, 2 * k)
-    vector = vector_top(embed(chunks, chunk_text, "vec", embedder), embed(controls, control_text, "vec", embedder), chunk_id, "vec", control_id, "vec", 2 * k)
+    stored = chunks.withColumnRenamed(chunk_vector, "vec") if chunk_vector else embed(chunks, chunk_text, "vec", embedder)
+    vector = vector_top(stored, embed(controls, vector_text or control_text, "vec", embedder), chunk_id, "vec", control_id, "vec", 2 * k)
     kept = fuse(vector, keyword, control_id, chunk_id, k).where(F.col("score") >= min_score)
     return controls.select(control_id).join(kept.select(control_id, chunk_id, "score", "rank"), control_id, "left_outer")

@@ -36,13 +36,21 @@ class ChunkStore:
     def collections(self) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._root) if s.isDirectory())
 
-    def index(self, name: str, chunks: DataFrame) -> int:
-        """Upsert by chunk_id; extraction_order is the place in this call. Returns the number of rows given."""
+    def index(self, name: str, chunks: DataFrame, keep: int = 2) -> int:
+        """Upsert by chunk_id, the last of a call's rows winning; returns the number of rows given.
+
+        ``extraction_order`` is the place in this call; where it isn't given, rows are numbered
+        as they are read. The newest ``keep`` versions stay, so that readers of the one before can end.
+        """
         if "embedding" not in chunks.columns or not chunks.where("embedding is null").isEmpty():
             raise ValueError("every chunk needs an embedding")
+        if "extraction_order" not in chunks.columns:
+            chunks = chunks.withColumn("extraction_order", F.monotonically_increasing_id())
         old = self._versions(name)
-        merged = chunks if not old else merge_by_key(self._read(name, old[-1]), chunks, "chunk_id")
-        merged.write.parquet(f"{self.path}/{name}/v{(old[-1] + 1) if old else 1}")
+        base = self._read(name, old[-1]) if old else chunks.where("false")
+        merge_by_key(base, chunks, "chunk_id", "extraction_order").write.parquet(f"{self.path}/{name}/v{(old[-1] + 1) if old else 1}")
+        for version in old[: max(0, len(old) + 1 - keep)]:
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path, f"{name}/v{version}"), True)
         return chunks.count()
 
     def _read(self, name: str, version: int) -> DataFrame:
@@ -72,3 +80,29 @@ def with_cache(requests: DataFrame, cache: DataFrame, model: str = "model", prom
     """Adds key, response (null at a miss) and hit; the cache has one row per key."""
     keyed = requests.withColumn("key", F.sha2(F.concat(F.col(model), F.lit("::"), F.col(prompt)), 256))
     return keyed.join(cache.select("key", "response"), "key", "left").withColumn("hit", F.col("response").isNotNull())
+
+
+class AnswerCache:
+    """Answers by key in a Parquet folder, appended to as they come; a key that was put twice has one answer."""
+
+    SCHEMA = "key string, response string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.hits, self.misses = spark, path.rstrip("/"), 0, 0
+        self._where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def read(self) -> DataFrame:
+        if not self._fs.exists(self._where):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).groupBy("key").agg(F.min("response").alias("response"))
+
+    def put(self, answers: DataFrame) -> None:
+        """Append (key, response) rows."""
+        answers.select("key", "response").where("response is not null").write.mode("append").parquet(self.path)
+
+    def clear(self) -> None:
+        self._fs.delete(self._where, True)
+
+    def stats(self) -> dict[str, int]:
+        return {"hits": self.hits, "misses": self.misses, "entries": self.read().count()}

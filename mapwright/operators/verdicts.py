@@ -55,10 +55,16 @@ def _verdict(a: Column) -> Column:
     usable = a["is_compliant"].isNotNull() & a["confidence_score"].isNotNull() & a["explanation"].isNotNull() & a["confidence_score"].between(0, 1)
     final = floored(level, a["confidence_score"])
     rationale = made(RATIONALE, F.when(final != level, F.lit(True)).otherwise(comp), final, a["confidence_score"], a["explanation"], none("string"), none("string"))
-    zero = lacking(F.coalesce(F.nullif(a["explanation"], F.lit("")), F.lit("Zero-confidence rationale.")), F.lit("Policy text directly addressing the control."))
+    zero = lacking(F.coalesce(F.nullif(a["explanation"], F.lit("")), F.lit(K.ZERO_CONFIDENCE[0])), F.lit(K.ZERO_CONFIDENCE[1]))
     return F.when(a["type"] == RATIONALE, F.when(usable & (a["confidence_score"] == 0), zero).when(usable, rationale)).when(
         a["type"] == INSUFFICIENT, F.when(a["reason"].isNotNull() & a["required_context"].isNotNull(), lacking(a["reason"], a["required_context"]))
-    ).otherwise(lacking(F.lit("Invalid LLM output: unknown response type."), F.lit("Response must be MappingRationale or InsufficientEvidence.")))
+    ).otherwise(lacking(*map(F.lit, K.UNKNOWN_TYPE)))
+
+
+def insufficient(why: tuple[Column | str, Column | str]) -> Column:
+    """A verdict of insufficient evidence with a reason and what would be needed."""
+    reason, context = (F.lit(x) if isinstance(x, str) else x for x in why)
+    return F.struct(F.lit(INSUFFICIENT).alias("kind"), F.lit(None).cast("boolean").alias("is_compliant"), F.lit(None).cast("string").alias("compliance_level"), F.lit(None).cast("double").alias("confidence_score"), F.lit(None).cast("string").alias("explanation"), reason.alias("reason"), context.alias("required_context"))
 
 
 def parse_batch(frame: DataFrame, raw: str, expected: str, keys: list[str]) -> DataFrame:
@@ -72,16 +78,27 @@ def parse_batch(frame: DataFrame, raw: str, expected: str, keys: list[str]) -> D
     got = frame.withColumn("items", items).where(F.col("items").isNotNull() & F.try_parse_json(text).isNotNull())
     each = got.where(F.col(expected) > 0).select(*keys, "items", F.explode(F.sequence(F.lit(0), F.col(expected) - 1)).alias("pos"))
     item = F.get("items", F.col("pos"))
-    reason = F.when(F.col("pos") >= F.size("items"), "Missing batch element in LLM response.").when(~item.startswith("{") | item.isNull(), "Invalid batch element: not a JSON object.").otherwise("Failed to parse batch element.")
-    context = F.when(F.col("pos") >= F.size("items"), "One evaluation per chunk.").when(~item.startswith("{") | item.isNull(), "Each element must be a valid JSON object.").otherwise("A valid MappingRationale or InsufficientEvidence.")
-    bad = F.struct(F.lit(INSUFFICIENT).alias("kind"), F.lit(None).cast("boolean").alias("is_compliant"), F.lit(None).cast("string").alias("compliance_level"), F.lit(None).cast("double").alias("confidence_score"), F.lit(None).cast("string").alias("explanation"), reason.alias("reason"), context.alias("required_context"))
-    return each.withColumn("verdict", F.coalesce(F.when(item.startswith("{"), parse_answer(item)), bad)).drop("items")
+    reason = F.when(F.col("pos") >= F.size("items"), K.MISSING_ELEMENT[0]).when(~item.startswith("{") | item.isNull(), K.NO_OBJECT[0]).otherwise(K.UNPARSED_ELEMENT[0])
+    context = F.when(F.col("pos") >= F.size("items"), K.MISSING_ELEMENT[1]).when(~item.startswith("{") | item.isNull(), K.NO_OBJECT[1]).otherwise(K.UNPARSED_ELEMENT[1])
+    return each.withColumn("verdict", F.coalesce(F.when(item.startswith("{"), parse_answer(item)), insufficient((reason, context)))).drop("items")
+
+
+def batch_usable(raw: Column) -> Column:
+    """Whether a batch answer holds a JSON array."""
+    text = T.json_array(raw)
+    return F.coalesce(F.from_json(text, "array<string>").isNotNull() & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def batch_sub_requirements(frame: DataFrame, raw: str, keys: list[str]) -> DataFrame:
-    """Rows (keys, pos, requirement, covered) of the sub-requirements in a batch answer."""
-    items = F.from_json(T.json_array(F.col(raw)), "array<struct<sub_requirements:array<struct<requirement:string,covered:boolean>>>>")
-    return frame.select(*keys, F.posexplode(items).alias("pos", "item")).select(*keys, "pos", F.explode("item.sub_requirements").alias("s")).select(*keys, "pos", "s.requirement", "s.covered")
+def batch_sub_requirements(frame: DataFrame, raw: str, expected: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, pos, requirement, covered) of the sub-requirements in the first ``expected`` elements of a batch answer.
+
+    Elements are read one by one: what isn't an object, or holds no list, has none, and takes none from the others.
+    """
+    items = frame.where(batch_usable(F.col(raw))).select(*keys, F.col(expected).alias("_most"), F.posexplode(F.from_json(T.json_array(F.col(raw)), "array<string>")).alias("pos", "item"))
+    lists = items.where((F.col("pos") < F.col("_most")) & F.col("item").startswith("{")).select(*keys, "pos", F.get_json_object("item", "$.sub_requirements").alias("subs"))
+    each = lists.where(F.col("subs").startswith("[")).select(*keys, "pos", F.explode(F.from_json("subs", "array<string>")).alias("sub")).where(F.col("sub").startswith("{"))
+    covered = F.coalesce(F.get_json_object("sub", "$.covered") == "true", F.lit(False))
+    return each.select(*keys, "pos", F.coalesce(F.get_json_object("sub", "$.requirement"), F.lit("")).alias("requirement"), covered.alias("covered"))
 
 
 def batch_flags(frame: DataFrame, raw: str, n: str, keys: list[str]) -> DataFrame:
@@ -115,6 +132,16 @@ def aggregate_verdicts(votes: DataFrame, subs: DataFrame, key: str) -> DataFrame
     return out.select(key, level.alias("level"), (level != NONE).alias("is_compliant"), "confidence", "changed")
 
 
+def hundredths(x: Column) -> Column:
+    """A double from 0 to 1 rounded to two places by its exact binary value, exact halves to even."""
+    # Scaled by a power of two the value is a whole number; decimals then compare without error.
+    whole = (x * F.lit(float(1 << 60))).cast("bigint").cast("decimal(38,0)") * F.lit(100).cast("decimal(3,0)")
+    one = F.lit(1 << 60).cast("decimal(19,0)")
+    read = F.transform(F.array(whole.cast("decimal(38,0)")), lambda n: F.struct(((n - F.pmod(n, one)) / one).cast("bigint").alias("q"), F.pmod(n, one).alias("rest")))
+    up = lambda v: (v["rest"] * 2 > one) | ((v["rest"] * 2 == one) & (v["q"] % 2 == 1))
+    return F.get(F.transform(read, lambda v: (v["q"] + F.when(up(v), 1).otherwise(0)) / F.lit(100.0)), F.lit(0))
+
+
 def resolve_siblings(results: DataFrame, key: str = "control_id", meta: str = "is_meta", level: str = "level", confidence: str = "confidence", order: str = "pos") -> DataFrame:
     """Governance requirements take their verdict from evaluated siblings of their family.
 
@@ -124,18 +151,19 @@ def resolve_siblings(results: DataFrame, key: str = "control_id", meta: str = "i
     frame = results.withColumn("family", T.family_of(F.col(key)))
     told = frame.where(~F.col(meta) & F.col(level).isNotNull())
     ids = lambda v: F.transform(F.array_sort(F.collect_list(F.when(F.col(level) == v, F.struct(F.col(order), F.col(key))))), lambda x: x[key])
-    per = told.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col(level) == FULL).alias("n_full"), F.count_if(F.col(level) == NONE).alias("n_none"), F.avg(confidence).alias("mean"), ids(NONE).alias("none_ids"), ids(PARTIAL).alias("partial_ids"))
+    # Summed in order, so that the last bits of a mean don't depend on partitioning.
+    mean = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(confidence).cast("double").alias("c")))), lambda x: x["c"]), F.lit(0.0), lambda a, x: a + x) / F.count("*")
+    per = told.groupBy("family").agg(F.count("*").alias("n"), F.count_if(F.col(level) == FULL).alias("n_full"), F.count_if(F.col(level) == NONE).alias("n_none"), mean.alias("mean"), ids(NONE).alias("none_ids"), ids(PARTIAL).alias("partial_ids"))
     out = frame.join(per, "family", "left")
     takes = F.col(meta) & F.col("n").isNotNull()
     all_none, all_full = F.col("n_none") == F.col("n"), F.col("n_full") == F.col("n")
     text = (
-        F.when(all_none, F.concat(F.lit("Inferred from sibling controls: all "), F.col("n"), F.lit(" evaluated controls in Requirement "), F.col("family"), F.lit(" are non-compliant ("), F.array_join("none_ids", ", "), F.lit("). This governance requirement cannot be met.")))
-        .when(all_full, F.concat(F.lit("Inferred from sibling controls: all "), F.col("n"), F.lit(" evaluated controls in Requirement "), F.col("family"), F.lit(" are compliant. Aggregated confidence from sibling assessments.")))
-        .otherwise(F.concat(F.lit("Inferred from sibling controls: "), F.col("n_full"), F.lit(" of "), F.col("n"), F.lit(" evaluated controls in Requirement "), F.col("family"), F.lit(" are fully compliant. Gaps remain in "), F.array_join(F.concat("none_ids", "partial_ids"), ", "), F.lit(".")))
+        F.when(all_none, T.filled(K.SIBLINGS_NONE, n=F.col("n"), family=F.col("family"), ids=F.array_join("none_ids", ", ")))
+        .when(all_full, T.filled(K.SIBLINGS_FULL, n=F.col("n"), family=F.col("family")))
+        .otherwise(T.filled(K.SIBLINGS_MIXED, full=F.col("n_full"), n=F.col("n"), family=F.col("family"), ids=F.array_join(F.concat("none_ids", "partial_ids"), ", ")))
     )
     resolved = F.when(all_none, NONE).when(all_full, FULL).otherwise(PARTIAL)
-    # A mean is rounded by its decimal digits, halves to even, as far as doubles tell.
-    rounded = F.bround(F.least("mean", F.lit(1.0)), 2)
+    rounded = hundredths(F.least("mean", F.lit(1.0)))
     return out.select(*results.columns, "family", F.when(takes, resolved).otherwise(F.col(level)).alias("resolved_level"), F.when(takes, F.when(all_none, 0.90).otherwise(rounded)).otherwise(F.col(confidence)).alias("resolved_confidence"), F.when(takes, text).alias("explanation"))
 
 

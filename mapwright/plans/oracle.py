@@ -109,10 +109,9 @@ verdicts as (select event_id, user_id, k,
   case when k = 'good' and conf = 0 then 'Policy text directly addressing the control.' when k = 'lack' then 'more' when k = 'other' then 'Response must be MappingRationale or InsufficientEvidence.' end as required_context from told)"""
 
 REPORTED = f"""{ANSWERS},
-thirds as (select * from verdicts where event_id % 3 = 0),
-firsts as (select * from thirds qualify row_number() over (partition by user_id order by event_id) = 1),
-seen as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n from thirds qualify n <= 3),
-chunked as (select user_id, event_id, n, 'Event' || chr(10) || event_id || ' ' || repeat('word ', event_id % 60) as raw_text from seen where user_id % 4 <> 0)"""
+firsts as (select * from verdicts qualify row_number() over (partition by user_id order by event_id) = 1),
+seen as (select user_id, event_id from verdicts),
+chunked as (select user_id, event_id, 'Event' || chr(10) || event_id || ' ' || repeat('word ', event_id % 60) as raw_text from seen where user_id % 4 <> 0)"""
 
 GOLDEN = f"""{BM25}, {bm25_top(5)},
 grams as (select distinct doc_id, array_to_string(list_slice(t, i, i + 7), ' ') as gram from (select doc_id, t, unnest(range(1, len(t) - 6)) as i from docs where len(t) >= 8)),
@@ -144,18 +143,20 @@ select item_id, case when v is null then q else q || ' [' || v || ']' end as que
     "subrequirement_coverage": f"with {VOTES}, {SUBS} select * from cov",
     "aggregate_verdicts": f"""with {VOTES}, {SUBS}, f as (select b.user_id, b.level as old, b.confidence, c.level as computed, case when coalesce(c.level, '') = 'fully_compliant' and b.confidence < 0.7 then 'partially_compliant' else coalesce(c.level, b.level) end as level from best b left join cov c using (user_id))
 select user_id, level, level <> 'non_compliant' as is_compliant, round(confidence, 4) as confidence, coalesce(computed <> old, false) as changed from f""",
-    "sibling_resolution": f"""with {VOTES}, r as (select case when user_id % 3 = 0 then 'AC-' || (user_id % 100) else (user_id % 10) || '.' || user_id end as control_id, user_id % 5 = 0 as is_meta, case when user_id % 13 <> 0 then level end as level, floor(confidence * 10) / 10 as confidence, user_id as pos from best),
+    "sibling_resolution": f"""with {VOTES}, r as (select case when user_id % 3 = 0 then 'AC-' || (user_id % 100) else (user_id % 10) || '.' || user_id end as control_id, user_id % 5 = 0 as is_meta, case when user_id % 13 <> 0 then level end as level, floor(confidence * 200) / 200 as confidence, user_id as pos from best),
 f as (select *, case when contains(control_id, '.') then split_part(control_id, '.', 1) when contains(control_id, '-') then split_part(control_id, '-', 1) else control_id end as family from r),
-p as (select family, count(*) as n, count_if(level = 'fully_compliant') as nf, count_if(level = 'non_compliant') as nn, avg(confidence) as mean, string_agg(control_id, ', ' order by pos) filter (level = 'non_compliant') as ni, string_agg(control_id, ', ' order by pos) filter (level = 'partially_compliant') as pi from f where not is_meta and level is not null group by family),
-j as (select f.*, p.* exclude (family), is_meta and n is not null as takes from f left join p using (family))
+p as (select family, count(*) as n, count_if(level = 'fully_compliant') as nf, count_if(level = 'non_compliant') as nn, list_reduce(list_prepend(0.0::double, list(confidence order by pos)), lambda a, b: a + b) / count(*) as mean, string_agg(control_id, ', ' order by pos) filter (level = 'non_compliant') as ni, string_agg(control_id, ', ' order by pos) filter (level = 'partially_compliant') as pi from f where not is_meta and level is not null group by family),
+j as (select f.*, p.* exclude (family), is_meta and n is not null as takes, 100 * (least(mean, 1.0)::double * 1152921504606846976::double)::hugeint as x from f left join p using (family))
 select pos, control_id, family, case when not takes then level when nn = n then 'non_compliant' when nf = n then 'fully_compliant' else 'partially_compliant' end as resolved_level,
-round(case when not takes then confidence when nn = n then 0.9 else round_even(least(mean, 1.0), 2) end, 1) as resolved_confidence,
+case when not takes then confidence when nn = n then 0.9 else ((x // 1152921504606846976::hugeint) + case when 2 * (x % 1152921504606846976::hugeint) > 1152921504606846976::hugeint or (2 * (x % 1152921504606846976::hugeint) = 1152921504606846976::hugeint and (x // 1152921504606846976::hugeint) % 2 = 1) then 1 else 0 end)::double / 100 end as resolved_confidence,
 case when not takes then null when nn = n then 'Inferred from sibling controls: all ' || n || ' evaluated controls in Requirement ' || family || ' are non-compliant (' || ni || '). This governance requirement cannot be met.'
 when nf = n then 'Inferred from sibling controls: all ' || n || ' evaluated controls in Requirement ' || family || ' are compliant. Aggregated confidence from sibling assessments.'
 else 'Inferred from sibling controls: ' || nf || ' of ' || n || ' evaluated controls in Requirement ' || family || ' are fully compliant. Gaps remain in ' || concat_ws(', ', ni, pi) || '.' end as explanation from j""",
     "meta_heuristic": r"""select item_id, regexp_matches(text, '(?is)all\s+security\s+policies\s+and\s+operational\s+procedures.*(?:documented|kept\s+up\s+to\s+date|in\s+use|known\s+to\s+all)') or regexp_matches(text, '(?i)roles\s+and\s+responsibilities\s+for\s+performing\s+activities\s+in\s+requirement') as is_meta
 from (select item_id, text from benchmark union all values (-1, 'All security policies and operational procedures for Requirement 3 are:' || chr(10) || 'Documented.'), (-2, 'ROLES AND  RESPONSIBILITIES for performing activities in Requirement 8 are known'), (-3, 'all security policies exist'))""",
     "parse_verdicts": f"with {ANSWERS} select event_id, kind, is_compliant, compliance_level, confidence_score, explanation, reason, required_context from verdicts",
+    "batch_sub_requirements": """with n as (select *, row_number() over (partition by user_id order by event_id) - 1 as pos, count(*) over (partition by user_id) as total from events)
+select user_id, pos::int as pos, event_type as requirement, event_id % 5 <> 0 and event_id % 2 = 0 as covered from n where event_id % 6 >= 3 and user_id % 9 <> 4 and pos < total - user_id % 3""",
     "parse_batch_verdicts": f"""with {ANSWERS}, items as (select *, row_number() over (partition by user_id order by event_id) - 1 as pos, event_id % 11 in (0, 8, 9, 10, 3, 4, 6) as object from verdicts),
 n as (select user_id, count(*) + user_id % 3 - 1 as n from items group by user_id), want as (select user_id, unnest(range(n)) as pos from n)
 select w.user_id, w.pos::int as pos, coalesce(case when i.object then i.kind end, 'InsufficientEvidence') as kind, case when i.object then i.compliance_level end as compliance_level, case when i.object then i.confidence_score end as confidence_score,
@@ -204,7 +205,7 @@ y as (select doc_id, g2, string_agg(t, ' ' order by g) as t from x group by all)
 select doc_id, (row_number() over (partition by doc_id order by g2) - 1)::int as pos, md5(t) as text_md5 from y""",
     "fixed_chunks": f"""with {BLOCKS}, w as (select doc_id, string_agg(text, ' ' order by pos) as t, arg_min(page, pos) as page from blocks group by doc_id),
 c as (select doc_id, page, unnest(range((length(t) - 1) // 500 + 1)) as i, t from w where length(t) > 0), x as (select doc_id, i::int as ordinal, page, {strip('substr(t, (i * 500 + 1)::bigint, 500)')} as raw_text from c)
-select * from x where length(raw_text) >= 50""",
+select * from x where length(raw_text) >= 10""",
     "chunk_fragments": f"""with {BLOCKS}, l as (select doc_id, pos::int as pos, case when pos % 9 = 3 then 'Approved by the Chief Security Officer' when pos % 9 = 5 then '(' || text else text end as t from blocks)
 select doc_id, pos, (contains(lower(t), 'approved by the') and (contains(lower(t), 'security officer') or contains(lower(t), 'ciso') or contains(lower(t), 'executive management')))
 or (length(t) < 120 and (regexp_matches(t, '^\\p{{Ll}}') or t[1] = '(' or (contains(lower(t), 'prohibited') and (contains(lower(t), 'reproduction') or contains(lower(t), 'disclosure'))) or contains(lower(t), 'effective as of the date'))) as is_fragment,
@@ -216,8 +217,8 @@ regexp_replace(lower({strip('t')}), '[0-9]+', '#', 'g') as comparable from l""",
 r as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(tp + fn, 0), 0) as r from n)
 select tp, fp, fn, round(p, 4) as precision, round(r, 4) as recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) as f1, round(coalesce(ok / nullif(n, 0), 0), 4) as accuracy from r""",
     "multiclass_accuracy": "select round(coalesce(avg((quality = toxic)::int), 0), 6) as accuracy, count(*) as n from labels",
-    "faithfulness": r"""with p as (select a.conv_id, list_distinct(list_filter(regexp_extract_all(lower(a.text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4)) as w, list_filter(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4) || ['policy', 'control'] as s from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = 1 and b.turn = 0)
-select conv_id, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(s, x))) / len(w) else 0 end, 6) as faithfulness from p""",
+    "faithfulness": r"""with p as (select a.conv_id, a.turn, list_distinct(list_filter(regexp_extract_all(lower(a.text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4)) as w, list_filter(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+'), lambda x: length(x) >= 4) || ['policy', 'control'] as s from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn + 1)
+select conv_id, turn, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains(s, x))) / len(w) else 0 end, 6) as faithfulness from p""",
     "gap_stats": f"with {VOTES}, l as (select case when user_id % 13 <> 0 then level end as level from best) select count(*) as total, count_if(level = 'fully_compliant') as fully, count_if(level = 'partially_compliant') as partially, count(*) - count_if(level = 'fully_compliant') - count_if(level = 'partially_compliant') as non from l",
     "coverage_stats": f"{COVER} select count(distinct source) as documents, count(*) as chunks, count_if(n > 0) as mapped, count_if(n = 0) as unmapped from cov",
     "coverage_by_document": f"{COVER}, c as (select d.source, string_agg(distinct m.item_id, ',' order by m.item_id) as controls from mapped m join documents d using (doc_id) group by all) select source, count(*) as chunks, count_if(n > 0) as mapped, count_if(n = 0) as unmapped, coalesce(any_value(controls), '') as controls from cov left join c using (source) group by source",
@@ -235,7 +236,19 @@ select doc_id, case when length(l) > 150 then left(l, 147) || '...' else l end a
 select conv_id, md5(array_to_string([('### Chunk ' || (i - 1) || chr(10) || x) for x, i in t], chr(10))) as listing_md5, conv_id || ': Title. ' || case when length(l) > 150 then left(l, 147) || '...' else l end as prompt from f""",
     "oscal_flatten": """with c(place, control_id, title, description, requirement_family) as (values ('000000.000000', 'AC-1', 'Policy', 'Write it down.', 'Access Control'), ('000000.000000.000000', 'ac-1.1', 'Deeper', '', 'Access Control'), ('000000.000000.000000.000000', 'UNKNOWN', 'Deepest', '', 'Access Control'), ('000000.000001', 'ac-2', 'Accounts', '', 'Access Control'), ('000001.000000', 'au-2', 'Events', 'Log.', 'Audit'))
 select n_nationkey, place, control_id, case when n_nationkey % 2 = 0 then 'NIST-800-53' else 'PCI-DSS' end as framework, title, description, requirement_family from nation, c""",
-    "upsert_chunks": "select doc_id, source, length(text) + (doc_id % 2 = 0)::int as n, case when doc_id % 2 = 0 then 2 else 1 end as batch from documents where doc_id % 2 = 0 or doc_id % 3 <> 0",
-    "store_round_trip": "select vec_id::varchar as chunk_id, label + case when vec_id % 2 = 0 then 100 else 0 end as label, vec_id as extraction_order from embeddings where vec_id % 2 = 0 or vec_id % 3 <> 0",
+    "upsert_chunks": "select doc_id, source, length(text) + (doc_id % 2 = 0 or doc_id % 3 = 0)::int as n, case when doc_id % 2 = 0 or doc_id % 3 = 0 then 2 else 1 end as batch from documents",
+    "store_round_trip": "select vec_id::varchar as chunk_id, label + case when vec_id % 4 = 0 and (vec_id % 2 = 0 or vec_id % 3 = 0) then 200 when vec_id % 2 = 0 or vec_id % 3 = 0 then 100 else 0 end as label, vec_id + case when vec_id % 4 = 0 then 1000000 else 0 end as extraction_order from embeddings",
     "cache_lookup": "with k as (select conv_id, turn, sha256('m::' || text) as key, text from conversations), c as (select key, any_value('r' || length(text)) as response from k where turn = 0 group by key) select conv_id, turn, key, response, response is not null as hit from k left join c using (key)",
+    "embedding_queries": f"""with b as (select item_id, case when item_id % 3 = 0 then '[Physical access] ' else '' end || text as q from benchmark), x(i, k, v) as (values {EXPANSIONS}),
+w as (select item_id, q, string_agg(v, '; ' order by i) as more from b left join x on contains(lower(q), k) group by all)
+select item_id, q || coalesce(' [' || more || ']', '') as keyword_query, {quoted(K.QUERY_PREFIX)} || q || coalesce(' [' || more || ']', '') as vector_query from w""",
+    "trailing_words": f"""with {BLOCKS}, l as (select doc_id, pos::int as pos, case when pos % 4 = 0 then text || ' and the.' when pos % 4 = 1 then text || ' THEREOF' else text end as t from blocks),
+w as (select doc_id, pos, regexp_replace({strip('t')}, '[.!?]+$', '') as b from l)
+select doc_id, pos, b <> '' and list_contains([{", ".join(quoted(w) for w in K.TRAILING_WORDS)}], lower(regexp_extract(b, '(\\S+)\\s*$', 1))) as open from w""",
+    "chunk_files": "select case when doc_id % 5 = 4 then 'not JSON' when doc_id % 5 = 1 or length(text) < 50 then 'text under 50 characters' when doc_id % 5 = 2 then 'page under 1' when doc_id % 5 = 3 then 'no identifier or document' else 'none' end as problem, count(*) as n from documents group by 1",
+    "golden_files": "select (row_number() over (order by item_id) - 1)::int as ordinal, md5(text) as query_md5, item_id::varchar as expected from benchmark",
+    "all_chunks": "select vec_id::varchar as chunk_id, label, row_number() over (order by vec_id desc)::int as place from embeddings",
+    "read_flags": "select event_id, event_id % 7 in (0, 2, 4, 6) as relevant, event_id % 7 in (0, 2) as is_meta from events",
+    "evaluation_handoff": f"""with {BM25}, {bm25_top(3)}, c as (select item_id, string_agg(text, '|' order by rank) as t, count(*) as n from kw join documents using (doc_id) group by item_id)
+select item_id, md5(coalesce(t, '')) as contexts_md5, coalesce(n, 0) as n, true as same from benchmark left join c using (item_id)""",
 }

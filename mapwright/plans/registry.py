@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mapwright.functions import text as T
@@ -21,7 +22,7 @@ from mapwright.plans import tables as I
 from mapwright.plans.oracle import SQL
 from mapwright.scratch import Scratch
 from mapwright.session import table
-from mapwright.sources.catalog import flatten_catalogs, page_texts
+from mapwright.sources.catalog import flatten_catalogs, page_texts, read_chunks, read_golden
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +98,70 @@ def query_expansion(s, d):
     return every.select("item_id", T.expand_query(T.with_family(family, F.col("item_text"))).alias("query"))
 
 
+@query
+def embedding_queries(s, d):
+    """What controls are looked up by, in both lists."""
+    family = F.when(F.col("item_id") % 3 == 0, "Physical access").otherwise("")
+    return R.control_queries(I.controls(s, d).withColumn("family", family), "item_text", "family").select("item_id", "keyword_query", "vector_query")
+
+
+@query
+def trailing_words(s, d):
+    """Lines that end within a clause; some have their full stop taken."""
+    lines = I.chunks(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    cut = F.when(F.col("pos") % 4 == 0, F.concat(F.col("line"), F.lit(" and the."))).when(F.col("pos") % 4 == 1, F.concat(F.col("line"), F.lit(" THEREOF")))
+    return lines.select("doc_id", "pos", T.ends_with_trailing_word(F.coalesce(cut, F.col("line"))).alias("open"))
+
+
+@query
+def chunk_files(s, d):
+    """Documents written as chunk lines, some of them no chunks, and read back with what is wrong."""
+    k = F.col("doc_id") % 5
+    row = F.struct(F.when(k != 3, F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("document_name"), F.when(k == 2, 0).otherwise(1).alias("page_number"), F.when(k == 1, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("raw_text"))
+    lines = table(s, d, "documents").select(F.when(k == 4, F.concat(F.lit("not json "), F.col("doc_id"))).otherwise(F.to_json(row)))
+    path = Scratch(s, "chunks").path("lines")
+    lines.write.text(path)
+    return read_chunks(s, path, strict=False).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query
+def golden_files(s, d):
+    """Items written as a golden set, read back in its order."""
+    one = F.struct(F.col("item_text").alias("query"), F.array(F.col("item_id").cast("string")).alias("expected_ids"))
+    whole = I.controls(s, d).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("item_id", one.alias("q")))), lambda x: x["q"]).alias("queries"))).alias("value"))
+    path = Scratch(s, "golden").path("set")
+    whole.coalesce(1).write.text(path)
+    return read_golden(s, path).select("ordinal", F.md5(F.col("query").cast("binary")).alias("query_md5"), F.array_join("expected_ids", ",").alias("expected"))
+
+
+@query
+def all_chunks(s, d):
+    """The store's chunks in order of extraction."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "label", "embedding", (-F.col("vec_id")).alias("extraction_order"))
+    store = S.ChunkStore(s, Scratch(s, "store").path("chunks"))
+    store.index("vectors", e)
+    rows = store.all_chunks("vectors")
+    return rows.select("chunk_id", "label", F.row_number().over(W.orderBy("extraction_order", "chunk_id")).alias("place"))
+
+
+@query
+def read_flags(s, d):
+    """Flags in answers about relevance and governance, readable and not."""
+    k = F.col("event_id") % 7
+    raw = F.when(k == 0, '{"flag": true}').when(k == 1, 'Here: {"flag": false}.').when(k == 2, '{"flag": "yes"}').when(k == 3, "{}").when(k == 4, "no answer").when(k == 5, '{"flag": 0}').otherwise('{"flag": tr')
+    e = table(s, d, "events").select("event_id", raw.alias("raw"))
+    return e.select("event_id", T.truth(F.col("raw"), "flag", True).alias("relevant"), T.truth(F.col("raw"), "flag", False).alias("is_meta"))
+
+
+@query
+def evaluation_handoff(s, d):
+    """Items with the texts of their best documents, by content hash."""
+    docs, items = I.chunks(s, d), I.controls(s, d)
+    best = R.bm25_top(docs, items, "doc_id", "text", "item_id", "item_text", 3).join(docs, "doc_id")
+    out = E.handoff(items, best, "item_id", "item_text", "text", "rank")
+    return out.select("item_id", F.md5(F.array_join("contexts", "|").cast("binary")).alias("contexts_md5"), F.size("contexts").cast("long").alias("n"), (F.col("question") == F.col("ground_truth")).alias("same"))
+
+
 @query
 def vote_best_rationale(s, d):
     best = V.best_rationale(I.votes(s, d), "user_id", pos="event_id")
@@ -125,12 +190,12 @@ def _results(s, d):
     best = V.best_rationale(I.votes(s, d), "user_id", pos="event_id")
     cid = F.concat(F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("AC-"), F.col("user_id") % 100)).otherwise(F.concat((F.col("user_id") % 10).cast("string"), F.lit("."), F.col("user_id").cast("string"))))
     level = F.when(F.col("user_id") % 13 != 0, F.col("level"))
-    return best.select(cid.alias("control_id"), (F.col("user_id") % 5 == 0).alias("is_meta"), level.alias("level"), (F.floor(F.col("confidence") * 10) / 10).alias("confidence"), F.col("user_id").alias("pos"))
+    return best.select(cid.alias("control_id"), (F.col("user_id") % 5 == 0).alias("is_meta"), level.alias("level"), (F.floor(F.col("confidence") * 200) / 200).alias("confidence"), F.col("user_id").alias("pos"))
 
 
 @query
 def sibling_resolution(s, d):
-    return V.resolve_siblings(_results(s, d)).select("pos", "control_id", "family", "resolved_level", F.round("resolved_confidence", 1).alias("resolved_confidence"), "explanation")
+    return V.resolve_siblings(_results(s, d)).select("pos", "control_id", "family", "resolved_level", "resolved_confidence", "explanation")
 
 
 @query
@@ -154,6 +219,18 @@ def parse_batch_verdicts(s, d):
     return V.parse_batch(batches, "raw", "n", ["user_id"]).select("user_id", "pos", "verdict.kind", "verdict.compliance_level", "verdict.confidence_score", "verdict.reason")
 
 
+@query
+def batch_sub_requirements(s, d):
+    """Answers of a user as one batch with elements that are no objects, and lists that are none."""
+    e = table(s, d, "events")
+    k = F.col("event_id") % 6
+    sub = F.concat(F.lit('{"requirement": "'), F.col("event_type"), F.lit('", "covered": '), F.when(F.col("event_id") % 5 == 0, "null").when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit("}"))
+    item = F.when(k == 0, F.lit("17")).when(k == 1, F.lit('{"sub_requirements": "oops"}')).when(k == 2, F.lit("{}")).when(k == 3, F.concat(F.lit('{"sub_requirements": [4, '), sub, F.lit("]}"))).otherwise(F.concat(F.lit('{"sub_requirements": ['), sub, F.lit("]}")))
+    items = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    raw = F.when(F.col("user_id") % 9 == 4, F.lit("nothing")).otherwise(F.concat(F.lit("Answer: ["), F.array_join("items", ","), F.lit("] end")))
+    return V.batch_sub_requirements(items.select("user_id", F.greatest(F.size("items") - F.col("user_id") % 3, F.lit(0)).cast("int").alias("n"), raw.alias("raw")), "raw", "n", ["user_id"])
+
+
 @query
 def batch_meta_flags(s, d):
     rows = table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("e"))
@@ -323,8 +400,10 @@ def multiclass_accuracy(s, d):
 
 @query
 def faithfulness(s, d):
-    pairs = table(s, d, "conversations").where("turn = 1").select("conv_id", "text").join(table(s, d, "conversations").where("turn = 0").select("conv_id", F.col("text").alias("source")), "conv_id")
-    return E.faithfulness(pairs, "text", ["source"], ["policy", "control"]).select("conv_id", six("faithfulness"))
+    """Every turn against the one before it."""
+    c = table(s, d, "conversations")
+    pairs = c.select("conv_id", "turn", "text").join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source")), ["conv_id", "turn"])
+    return E.faithfulness(pairs, "text", ["source"], ["policy", "control"]).select("conv_id", "turn", six("faithfulness"))
 
 
 def _coverage(s, d):
@@ -353,11 +432,10 @@ def unmapped_chunks(s, d):
 
 
 def _reported(s, d):
-    """Users as controls with verdicts, their first events as chunks."""
-    answers = I.answers(s, d).where("event_id % 3 = 0")
-    e = answers.select("user_id", "event_id", V.parse_answer(F.col("raw")).alias("v"))
+    """Users as controls with the verdict of their first event, their events as chunks."""
+    e = I.answers(s, d).select("user_id", "event_id", V.parse_answer(F.col("raw")).alias("v"))
     chunk = F.struct(F.concat(F.lit("e"), F.col("event_id")).alias("chunk_id"), F.lit("events").alias("document_name"), F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_header"), F.concat(F.lit("Event\n"), F.col("event_id"), F.lit(" "), F.repeat(F.lit("word "), (F.col("event_id") % 60).cast("int"))).alias("raw_text"))
-    per = e.groupBy("user_id").agg(F.min_by("v", "event_id").alias("rationale"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("event_id", chunk.alias("c")))), lambda x: x["c"]), 1, 3).alias("chunks"))
+    per = e.groupBy("user_id").agg(F.min_by("v", "event_id").alias("rationale"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", chunk.alias("c")))), lambda x: x["c"]).alias("chunks"))
     return per.select(F.col("user_id").cast("string").alias("control_id"), F.lit("F").alias("framework"), F.concat(F.lit("User "), F.col("user_id")).alias("title"), F.lit("About a user.").alias("description"), F.when(F.col("user_id") % 4 == 0, F.array().cast(X.CHUNKS)).otherwise(F.col("chunks").cast(X.CHUNKS)).alias("chunks"), F.col("rationale").cast(X.VERDICT).alias("rationale"))
 
 
@@ -413,7 +491,7 @@ def oscal_flatten(s, d):
 def upsert_chunks(s, d):
     docs = table(s, d, "documents").select("doc_id", "source", F.length("text").alias("n"))
     old = docs.where("doc_id % 3 <> 0").withColumn("batch", F.lit(1))
-    new = docs.where("doc_id % 2 = 0").withColumn("batch", F.lit(2)).withColumn("n", F.col("n") + 1)
+    new = docs.where("doc_id % 2 = 0 or doc_id % 3 = 0").withColumn("batch", F.lit(2)).withColumn("n", F.col("n") + 1)
     return S.merge_by_key(old, new, "doc_id").select("doc_id", "source", "n", "batch")
 
 
@@ -423,7 +501,9 @@ def store_round_trip(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label"), "embedding", F.col("vec_id").alias("extraction_order"))
     store = S.ChunkStore(s, Scratch(s, "store").path("chunks"))
     store.index("vectors", e.where("extraction_order % 3 <> 0"))
-    store.index("vectors", e.where("extraction_order % 2 = 0").withColumn("label", F.col("label") + 100))
+    late = e.where("extraction_order % 2 = 0 or extraction_order % 3 = 0").withColumn("label", F.col("label") + 100)
+    again = late.where("extraction_order % 4 = 0").withColumn("label", F.col("label") + 100).withColumn("extraction_order", F.col("extraction_order") + 1_000_000)
+    store.index("vectors", late.unionByName(again))
     return store.read("vectors").select("chunk_id", "label", "extraction_order")
 
 

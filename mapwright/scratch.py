@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is one made.
+    Only where ``spark.checkpoint.dir`` is unset and the master is local is one made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="mapwright-")
         spark.conf.set("spark.checkpoint.dir", found)

@@ -13,13 +13,21 @@ CONTROL = "id string, title string, props array<struct<name:string,value:string>
 BLOCKS = "path string, pos int, page int, x0 double, y0 double, x1 double, y1 double, text string"
 
 
-def read_chunks(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Chunk JSON lines; strict reading stops at the first bad line, otherwise bad rows carry ``problem``."""
-    if strict:
-        return spark.read.schema(CHUNK).option("mode", "FAILFAST").json(path)
+def read_chunks(spark: SparkSession, path: str, strict: bool = True, least: int = 50) -> DataFrame:
+    """Chunk JSON lines; strict reading stops at the first line that is no chunk, otherwise such rows carry ``problem``.
+
+    A chunk has a text of ``least`` characters, an identifier, a document and a page from 1 on. Blank lines are none.
+    """
     frame = spark.read.schema(CHUNK + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    problem = F.when(F.col("_corrupt_record").isNotNull(), "not JSON").when(F.coalesce(F.length("raw_text"), F.lit(0)) < 50, "text under 50 characters").when(F.coalesce("page_number", F.lit(0)) < 1, "page under 1")
-    return frame.withColumn("problem", problem)
+    short = F.coalesce(F.length("raw_text"), F.lit(0)) < least
+    unnamed = F.col("chunk_id").isNull() | F.col("document_name").isNull()
+    problem = F.when(F.col("_corrupt_record").isNotNull(), "not JSON").when(short, f"text under {least} characters").when(F.coalesce("page_number", F.lit(0)) < 1, "page under 1").when(unnamed, "no identifier or document")
+    told = frame.withColumn("problem", problem)
+    if not strict:
+        return told
+    names = [x.split()[0] for x in CHUNK.split(", ")]
+    stop = F.raise_error(F.concat(F.lit("not a chunk: "), F.col("problem"))).cast("string")
+    return told.withColumn("chunk_id", F.when(F.col("problem").isNull(), F.col("chunk_id")).otherwise(stop)).select(*names)
 
 
 def framework_of(title: Column) -> Column:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from mapwright.functions import text as T
 from mapwright.operators import chunking as C
 from mapwright.operators import evaluation as E
 from mapwright.operators import export as X
@@ -188,7 +189,7 @@ def test_catalog_and_chunk_files(spark, tmp_path):
     (tmp_path / "d.json").write_text("{}")
     with pytest.raises(ValueError):
         S.read_catalogs(spark, str(tmp_path))
-    (tmp_path / "chunks.jsonl").write_text('{"chunk_id": "a", "page_number": 1, "raw_text": "' + "x" * 50 + '"}\nnot json\n{"chunk_id": "b", "page_number": 0, "raw_text": "' + "x" * 50 + '"}\n')
+    (tmp_path / "chunks.jsonl").write_text('{"chunk_id": "a", "document_name": "d", "page_number": 1, "raw_text": "' + "x" * 50 + '"}\nnot json\n{"chunk_id": "b", "page_number": 0, "raw_text": "' + "x" * 50 + '"}\n')
     assert [r["problem"] for r in S.read_chunks(spark, str(tmp_path / "chunks.jsonl"), strict=False).collect()] == [None, "not JSON", "page under 1"]
     with pytest.raises(Exception):
         S.read_chunks(spark, str(tmp_path / "chunks.jsonl")).collect()
@@ -235,3 +236,137 @@ def test_judges(spark):
     out, news = J.ask_cached(frame, "prompt", J.ReplayJudge({"q": "fresh"}), "m", cache)
     assert {(r["prompt"], r["answer"]) for r in out.collect()} == {("p", "cached"), ("q", "fresh")}
     assert [r["response"] for r in news.collect()] == ["fresh"]
+
+
+VERDICT = {"type": "MappingRationale", "is_compliant": True, "compliance_level": "fully_compliant", "confidence_score": 0.9, "explanation": "held"}
+
+
+def scripted():
+    class Scripted:
+        """Answers by the first word of the prompt's control, telling the kinds of prompt apart; counts what it is asked."""
+
+        def answer(self, prompts):
+            return [self.one(p) for p in prompts]
+
+        def one(self, p):
+            control = p.split("## Control\n")[-1]
+            if "### Control" in p:
+                n = p.count("### Control")
+                return "Flags: " + json.dumps([{"control_index": i, "is_meta": "policy upkeep" in p.split(f"### Control {i}\n")[1].split("### Control")[0]} for i in range(n)])
+            if "No policy text" in p:
+                return json.dumps(VERDICT | {"is_compliant": False, "compliance_level": "non_compliant", "explanation": "gap"}) if "9.1" in control else "no idea"
+            if "Judge each" in p:
+                if "1.2:" in control:
+                    return "I can't answer in an array"
+                if "2.2:" in control:
+                    subs = [[{"requirement": r, "covered": r == own} for r in "ab"] for own in "ab"]
+                    return json.dumps([VERDICT | {"confidence_score": 0.9 - i / 10, "sub_requirements": x} for i, x in enumerate(subs)])
+                return json.dumps([VERDICT | {"sub_requirements": [{"requirement": "a", "covered": True}, {"requirement": "b", "covered": "1.3:" in control}]}, {"type": "InsufficientEvidence", "reason": "r", "required_context": "c"}])
+            if "Decide first" in p:
+                return json.dumps(VERDICT | {"confidence_score": 0.6}) if "good" in p else "nonsense"
+            return '{"relevant": false}' if "far" in p else "?"
+
+    return Scripted()
+
+
+def controls_frame(spark):
+    long = "a text of policy that is good and long enough to count"
+    chunk = lambda i, t=long, d="doc": (f"c{i}", d, 1, "Sec", t)
+    rows = [
+        ("1.1", "Roles and responsibilities for performing activities in Requirement 1 are assigned.", [chunk(0)], 0),
+        ("1.2", "Do it.", [chunk(1), chunk(2, "another text, of thirty characters and more"), chunk(1)], 1),
+        ("1.3", "Do that.", [chunk(3), chunk(4, long + "!", "other"), chunk(5, "short")], 2),
+        ("2.1", "policy upkeep", [chunk(6), chunk(7, long + "?", "x")], 3),
+        ("2.2", "Do this.", [chunk(8), chunk(9, long + "?", "x")], 4),
+        ("9.1", "Nothing there.", [], 5),
+        ("9.2", "Nothing there.", [], 6),
+    ]
+    return spark.createDataFrame([(c, "F", "T", d, k, p) for c, d, k, p in rows], f"control_id string, framework string, title string, description string, chunks {X.CHUNKS}, pos int")
+
+
+def test_enrichment_path(spark, tmp_path):
+    from mapwright.operators.store import AnswerCache
+
+    cache = AnswerCache(spark, f"file://{tmp_path}/cache")
+    got = {r["control_id"]: r for r in J.enrich(controls_frame(spark), scripted(), cache=cache).collect()}
+    verdict = lambda c: (got[c]["rationale"]["compliance_level"], got[c]["rationale"]["confidence_score"]) if got[c]["rationale"] else None
+    assert verdict("1.2") == ("partially_compliant", 0.6) and [c["chunk_id"] for c in got["1.2"]["chunks"]] == ["c1"]  # asked one by one
+    assert verdict("1.3") == ("fully_compliant", 0.9) and [c["chunk_id"] for c in got["1.3"]["chunks"]] == ["c3"]
+    assert verdict("2.2") == ("fully_compliant", 0.9) and got["2.2"]["rationale"]["explanation"] == "Combined evidence from 2 chunks covers all 2 sub-requirements: a; b"
+    assert got["1.1"]["is_meta"] and verdict("1.1") == ("partially_compliant", 0.75) and got["1.1"]["chunks"] == []
+    assert got["2.1"]["is_meta"] and got["2.1"]["rationale"]["explanation"].startswith("Inferred from sibling controls: all 1 evaluated controls in Requirement 2 are compliant")
+    assert verdict("9.1") == ("non_compliant", 0.9) and got["9.1"]["rationale"]["explanation"] == "gap" and verdict("9.2") is None
+    first = cache.stats()
+    assert first["hits"] == 0 and first["misses"] == first["entries"] > 5
+    again = {r["control_id"]: r["rationale"] for r in J.enrich(controls_frame(spark), J.ReplayJudge({}), cache=cache).collect()}
+    assert again == {c: r["rationale"] for c, r in got.items()} and cache.stats()["hits"] == first["misses"]
+    cache.clear()
+    assert cache.read().count() == 0
+
+
+def test_single_questions(spark):
+    from mapwright.operators.prompts import load_prompt
+    from mapwright.scratch import Scratch
+
+    desk = J.Desk(scripted(), Scratch(spark, "test"))
+    frame = spark.createDataFrame([("near", "x"), ("far", "x")], "chunk_text string, control_text string").withColumn("requirement_family", F.lit(""))
+    assert {r["chunk_text"]: r["relevant"] for r in J.check_relevance(frame, desk).collect()} == {"near": True, "far": False}
+    told = J.Desk(J.ReplayJudge({}), Scratch(spark, "test"))
+    assert [r["is_meta"] for r in J.classify_controls(frame.limit(1), told).collect()] == [False]
+    raw = spark.createDataFrame([('{"is_meta": true}',), ('say {"is_meta": "yes"}',), ('{"is_meta": 0}',), ("{}",), ("none",), (None,)], "raw string")
+    assert [r["v"] for r in raw.select(T.truth(F.col("raw"), "is_meta", True).alias("v")).collect()] == [True, True, False, False, True, True]
+    assert "<<control_text>>" in load_prompt("gap_rationale.txt")
+    with pytest.raises(FileNotFoundError):
+        load_prompt("none")
+
+
+def test_hundredths_round_as_exact_values(spark):
+    import random
+
+    r = random.Random(1)
+    values = [0.575, 0.125, 0.375, 0.005, 0.015, 1.0, 0.0, 0.995, 0.29, 1e-9] + [r.randrange(2001) / 2000 for _ in range(500)] + [r.random() for _ in range(200)]
+    got = [x["v"] for x in spark.createDataFrame([(v,) for v in values], "x double").select(V.hundredths(F.col("x")).alias("v")).collect()]
+    assert got == [round(v, 2) for v in values]
+
+
+def test_command_line_maps_with_rationale(spark, tmp_path, monkeypatch, capsys):
+    from mapwright import cli
+    from mapwright.plans.registry import CATALOG
+
+    monkeypatch.setattr(cli, "local_session", lambda app: spark)
+    (tmp_path / "cat").mkdir()
+    (tmp_path / "cat/a.json").write_text(CATALOG)
+    (tmp_path / "cat/b.json").write_text(CATALOG.replace("NIST SP 800-53 Rev 5", "PCI"))
+    lines = [{"chunk_id": f"k{i}", "document_name": "doc", "page_number": 1, "raw_text": t} for i, t in enumerate(["Audit events: log all events and keep the audit log for a year.", "Accounts are approved, reviewed and removed by the owner of the system.", "The policy is written down and reviewed every year by the board."])]
+    (tmp_path / "chunks.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\n")
+    assert cli.main(["index", str(tmp_path / "chunks.jsonl"), f"file://{tmp_path}/store"]) == 0
+    assert cli.main(["map", f"file://{tmp_path}/store", str(tmp_path / "cat"), "--rationale", "--top-k", "2", "--cache", f"file://{tmp_path}/answers", "--format", "json,html", "--out", f"{tmp_path}/r.json,{tmp_path}/r.html"]) == 0
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert [(r["framework"], r["control_id"]) for r in got] == [(f, c) for f in ("NIST-800-53", "PCI-DSS") for c in ("AC-1", "ac-1.1", "UNKNOWN", "ac-2", "au-2")]
+    assert all("rationale" in r for r in got)
+    page = (tmp_path / "r.html").read_text()
+    assert page.count("<details data-verdict") == 10 and "of 3 chunks mapped" in page
+    capsys.readouterr()
+    assert cli.main(["harmonize", str(tmp_path / "cat"), "--threshold", "0.99"]) == 0
+    common = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [c["theme"] for c in common] == ["Policy", "Deeper", "Deepest", "Accounts", "Events"] and common[0]["source_references"] == ["AC-1", "AC-1"]
+    (tmp_path / "g.json").write_text(json.dumps({"queries": [{"query": "audit events", "expected_ids": ["k0"]}]}))
+    assert cli.main(["eval", f"file://{tmp_path}/store", str(tmp_path / "g.json"), "--metric", "handoff", "--top-k", "1"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["contexts"] == [lines[0]["raw_text"]]
+
+
+def test_store_keeps_the_last_of_a_call(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    kind = "chunk_id string, document_name string, embedding array<float>"
+    for n in range(4):
+        assert store.index("c", spark.createDataFrame([("a", f"first{n}", [1.0]), ("b", "x", [1.0]), ("a", f"last{n}", [1.0])], kind).coalesce(1)) == 3
+    rows = store.all_chunks("c").collect()
+    assert [(r["chunk_id"], r["document_name"]) for r in rows] == [("b", "x"), ("a", "last3")] and "extraction_order" in rows[0]
+    assert len([*(tmp_path / "store/c").iterdir()]) == 2
+
+
+def test_report_parts(spark, tmp_path):
+    frame = controls_frame(spark).drop("pos").withColumn("rationale", F.lit(None).cast(X.VERDICT))
+    for kind in ("csv", "markdown", "oscal", "html", "json"):
+        X.export_parts(frame, kind, f"file://{tmp_path}/{kind}")
+        assert any(p.name.startswith("part-") for p in (tmp_path / kind).iterdir())
