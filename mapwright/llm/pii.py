@@ -6,9 +6,12 @@ value) as far as its point-wise mutual information with the entity reaches the
 entity's own information content. Both come from counts of distinct texts over the
 whole corpus: texts with the entity, with the term, and with the term
 within ``reach`` characters of the entity. Every pair that occurs is judged, those of
-one text too: a term that no other text holds gives its entity away in full. Terms are generalised from ``generalise`` of the
-entity's information on, and removed from ``remove`` on, near the entity they
-disclose.
+one text too: a term that no other text holds gives its entity away in full. Terms that reach ``generalise`` of an
+entity's information are generalised, those that reach ``remove`` of it removed, wherever they
+stand, in texts without the entity too: there above all they would lead to it.
+
+Matches are placed by running sums over blocks of BLOCK matches, so that a long text full of
+them costs little more than their number.
 
 Defined results: a null text counts as empty; rows that repeat a text count once
 but each has its row in the result; a null identifier is kept as null; an entity in
@@ -33,18 +36,27 @@ CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,18}+(?![
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 SPAN = "array<struct<kind:int,s:int,e:int,v:string>>"
-TOKEN = "array<struct<entity:string,term:string,s:int,e:int>>"
+TOKEN = "array<struct<entity:string,term:string>>"
+
+
+#: Matches of a block, and spans on either side that can overlap the reach of a short span.
+BLOCK, BESIDE = 64, 64
 
 
 def located(text: Column, pattern: str, base: Column | int = 0) -> Column:
     """array<struct<s, e, v>> of all matches, offsets in code points from ``base`` on."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(matches, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    start = F.struct((F.lit(base) if isinstance(base, int) else base).cast("int").alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
     step = lambda a, x: F.when(x["m"].isNull(), a).otherwise(
         F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["n"]).alias("e"), x["m"].alias("v")))).alias("out"))
     )
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+    fold = lambda xs: F.aggregate(xs, start, step)
+    # Arrays of one element bind what is used more than once.
+    bound = F.transform(F.array(steps), lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / BLOCK).cast("int")), lambda i: fold(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))))
+    first = F.array((F.lit(base) if isinstance(base, int) else base).cast("int"))
+    placed = F.transform(bound, lambda bs: F.zip_with(bs, F.aggregate(bs, first, lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"]))), lambda b, o: F.when(b.isNotNull(), F.transform(b["out"], lambda x: F.struct((x["s"] + o).alias("s"), (x["e"] + o).alias("e"), x["v"].alias("v")))).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))))
+    return F.flatten(F.get(placed, F.lit(0)))
 
 
 def _digits(v: Column) -> Column:
@@ -85,19 +97,37 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"], x["e"])), ",")
 
 
+def _word_end(text: Column, at: Column, pattern: str) -> Column:
+    """How far the word that ``at`` cuts goes on, by a pattern for the rest of the text on one side; 0 outside words."""
+    cut = F.substring(text, at, F.lit(2)).rlike(r"^\p{L}{2}")
+    rest = F.substring(text, at + 1, F.length(text)) if pattern.startswith("^") else F.substring(text, F.lit(1), at)
+    return F.when(cut & (at > 0), F.length(F.regexp_extract(rest, pattern, 0))).otherwise(0)
+
+
 def _near(text: Column, reach: int) -> Column:
-    """Terms around every base span, without those cut by the window's edge or in a span."""
+    """Whole terms that begin or end within ``reach`` of a base span, without those that overlap one."""
     n = F.length(text)
 
-    def around(span: Column) -> Column:
-        entity = F.concat_ws(":", span["kind"], F.lower(span["v"]))
-        lo, hi = F.greatest(span["s"] - reach, F.lit(0)), F.least(span["e"] + reach, n)
-        before = F.filter(located(F.substring(text, lo + 1, span["s"] - lo), TERM, lo), lambda x: (lo == 0) | (x["s"] > lo))
-        after = F.filter(located(F.substring(text, span["e"] + 1, hi - span["e"]), TERM, span["e"]), lambda x: (hi == n) | (x["e"] < hi))
-        return F.transform(F.concat(before, after), lambda x: F.struct(entity.alias("entity"), F.lower(x["v"]).alias("term"), x["s"].alias("s"), x["e"].alias("e")))
+    def around(bound: Column) -> Column:
+        spans, long = bound["spans"], bound["long"]
+
+        def beside(span: Column, i: Column) -> Column:
+            entity = F.concat_ws(":", span["kind"], F.lower(span["v"]))
+            lo, hi = F.greatest(span["s"] - reach, F.lit(0)), F.least(span["e"] + reach, n)
+            edge = F.struct((lo - _word_end(text, lo, r"\p{L}+$")).alias("lo"), (hi + _word_end(text, hi, r"^\p{L}+")).alias("hi"))
+            # Short spans: only so many others can overlap their reach, but for long ones.
+            few = (F.size(spans) <= 2 * BESIDE) | (span["e"] - span["s"] > reach)
+            others = F.when(few, spans).otherwise(F.concat(F.slice(spans, F.greatest(i - BESIDE, F.lit(0)) + 1, F.lit(2 * BESIDE + 1)), long))
+            clear = lambda x, all_: ~F.exists(all_, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+            found = F.flatten(F.transform(F.array(edge), lambda w: F.concat(located(F.substring(text, w["lo"] + 1, span["s"] - w["lo"]), TERM, w["lo"]), located(F.substring(text, span["e"] + 1, w["hi"] - span["e"]), TERM, span["e"]))))
+            kept = F.flatten(F.transform(F.array(others), lambda all_: F.filter(found, lambda x: clear(x, all_))))
+            return F.transform(kept, lambda x: F.struct(entity.alias("entity"), F.lower(x["v"]).alias("term")))
+
+        return F.array_distinct(F.flatten(F.transform(spans, beside)))
 
-    clear = lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    return F.filter(F.flatten(F.transform("spans", around)), clear)
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), x["v"].alias("v"))))
+    bound = F.transform(F.array(ordered), lambda spans: F.struct(spans.alias("spans"), F.filter(spans, lambda x: x["e"] - x["s"] > reach).alias("long")))
+    return F.flatten(F.transform(bound, around))
 
 
 def find_pii(
@@ -125,7 +155,7 @@ def find_pii(
     # Copies of a text say no more than the text does.
     once = found.select("digest", "spans", "near").dropDuplicates(["digest"])
     n_docs = found.select("digest").distinct().count()
-    pairs = once.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
+    pairs = once.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("both"))
     pairs = scratch.keep(pairs, "pairs")
     entities = once.select(F.explode(F.array_distinct(F.transform("spans", lambda x: F.concat_ws(":", x["kind"], F.lower(x["v"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = pairs.select("term").distinct()
@@ -136,10 +166,16 @@ def find_pii(
     content = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_entity"))
     pmi = F.log2(F.lit(float(max(n_docs, 1))) * F.col("both") / (F.col("n_entity") * F.greatest("n_term", "both").cast("double")))
     judged = pairs.join(entities, "entity").join(counted, "term").where(content > 0).withColumn("disclosed", pmi / content).where(F.col("disclosed") >= generalise)
-    judged = judged.select("entity", "term", F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise").alias("act"))
-    spots = found.select("row", F.explode("near").alias("t")).select("row", "t.*").join(judged, ["entity", "term"])
-    per_row = spots.groupBy("row", "s", "e").agg(F.max("act").alias("act")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(4).alias("kind"), "s", "e", F.col("act").alias("v")))).cast(SPAN).alias("terms"))
-    out = found.drop("near", "digest").join(per_row, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
+    acts = scratch.keep(judged.groupBy("term").agg(F.max(F.when(F.col("disclosed") >= remove, "remove").otherwise("generalise")).alias("act")), "acts")
+    # Wherever such a term stands: which texts hold one, and where it is in them.
+    held = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(acts, "term")
+    told = scratch.keep(held.groupBy("digest").agg(F.collect_list(F.struct("term", "act")).alias("told")), "told")
+    some = base.select("text", digest).join(told, "digest").dropDuplicates(["digest"]).withColumn("spans", base_spans(F.col("text")))
+    act = lambda x: F.get(F.filter("told", lambda t: t["term"] == F.lower(x["v"])), F.lit(0))["act"]
+    free = F.filter(located(F.col("text"), TERM), lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    marked = F.filter(F.transform(free, lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), act(x).alias("v"))), lambda x: x["v"].isNotNull())
+    per_text = some.select("digest", marked.cast(SPAN).alias("terms"))
+    out = found.drop("near").join(per_text, "digest", "left").drop("digest").withColumn("terms", F.coalesce("terms", F.array().cast(SPAN)))
     if with_text:
         out = out.withColumn("sanitised", sanitised("text", "spans", "terms"))
     return out.drop("row").withColumnRenamed("id", id_col)
