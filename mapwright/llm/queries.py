@@ -44,7 +44,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return seen.select("conv_id", "perspective", "part", "n_turns", "n_trained", F.sha2("rendered", 256).alias("rendered_sha256"), "mask")
+    return seen.select("conv_id", "perspective", "part", "part_start", "n_turns", "n_trained", F.sha2("rendered", 256).alias("rendered_sha256"), "mask")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,15 +99,14 @@ from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 """
 
 
-OP4_SQL = """
-with m as (select conv_id as c, turn as t, coalesce(role, 'unknown') as r, coalesce(text, '') as x, floor(turn / 256)::bigint as part from conversations),
+OP4_SQL = r"""
+with m as (select conv_id as c, turn as t, coalesce(role, 'unknown') as r, replace(coalesce(text, ''), '<|', '<\|') as x, floor(turn / 256)::bigint as part from conversations),
 p as (select distinct c, r as perspective from m where r <> 'system'),
-e as (select m.*, p.perspective, case when m.r = p.perspective then '<|assistant|>' when m.r = 'system' then '<|system|>' else '<|user name=' || m.r || '|>' end || chr(10) as h from m join p on m.c is not distinct from p.c),
-o as (select *, (sum(length(h) + length(x) + 8) over (partition by c, perspective, part order by t is null, t, r, x rows unbounded preceding) - length(x) - 8)::bigint as at_text from e)
-select c as conv_id, perspective, part, count(*) as n_turns, sum(case when r = perspective then length(x) else 0 end)::bigint as n_trained,
-       sha256(string_agg(h || x || '<|end|>' || chr(10), '' order by at_text)) as rendered_sha256,
-       coalesce(string_agg(at_text || ':' || (at_text + length(x)), ',' order by at_text) filter (r = perspective and length(x) > 0), '') as mask
-from o group by c, perspective, part
+e as (select m.*, p.perspective, case when m.r = p.perspective then '<|assistant|>' when m.r = 'system' then '<|system|>' else '<|user name=' || replace(replace(replace(m.r, '<|', '<\|'), '|>', '\|>'), chr(10), ' ') || '|>' end || chr(10) as h from m join p on m.c is not distinct from p.c),
+o as (select *, (sum(length(h) + length(x) + 8) over (partition by c, perspective, part order by t is null, t, r, x rows unbounded preceding) - length(x) - 8)::bigint as at_text from e),
+g as (select c, perspective, part, count(*) as n_turns, sum(case when r = perspective then length(x) else 0 end)::bigint as n_trained, string_agg(h || x || '<|end|>' || chr(10), '' order by at_text) as rendered,
+       coalesce(string_agg(at_text || ':' || (at_text + length(x)), ',' order by at_text) filter (r = perspective and length(x) > 0), '') as mask from o group by c, perspective, part)
+select c as conv_id, perspective, part, coalesce(sum(length(rendered)) over (partition by c, perspective order by part nulls last rows between unbounded preceding and 1 preceding), 0)::bigint as part_start, n_turns, n_trained, sha256(rendered) as rendered_sha256, mask from g
 """
 
 OP5_SQL = r"""
