@@ -170,7 +170,8 @@ def find_pii(
     # Wherever such a term stands: which texts hold one, and where it is in them.
     held = texts.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(acts, "term")
     told = scratch.keep(held.groupBy("digest").agg(F.collect_list(F.struct("term", "act")).alias("told")), "told")
-    some = base.select("text", digest).join(told, "digest").dropDuplicates(["digest"]).withColumn("spans", base_spans(F.col("text")))
+    # Kept, as the optimiser would move the search for spans into the look at each term.
+    some = scratch.keep(base.select("text", digest).join(told, "digest").dropDuplicates(["digest"]).withColumn("spans", base_spans(F.col("text"))), "some")
     act = lambda x: F.get(F.filter("told", lambda t: t["term"] == F.lower(x["v"])), F.lit(0))["act"]
     free = F.filter(located(F.col("text"), TERM), lambda x: ~F.exists("spans", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
     marked = F.filter(F.transform(free, lambda x: F.struct(F.lit(4).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), act(x).alias("v"))), lambda x: x["v"].isNotNull())
