@@ -11,8 +11,13 @@ shards, whole anchors up to ``shard_words`` words, become suffix automata whose
 states know where their words first end. Contexts are streamed through the
 automata of their anchor's shards for matching statistics: a window is a repeat where
 the match covers it and first ended earlier. An anchor with more words than a
-shard is several automata, each sent the contexts that come after its own, so memory
-stays bounded whatever an anchor's share of the corpus.
+shard is several automata, each sent the contexts that come after its own.
+
+Anchors of more than ``crowded`` different contexts don't stay together: each of their
+windows is looked at by itself, under 128 bits of its words, in salted groups whose first
+windows are compared once more. So are the most frequent anchors altogether, which a list of
+bounded size names. What the other anchors hold in a task is bounded by ``crowded``
+contexts, or by one in MOST_SENT of all of them if that is more.
 
 Shards hold contexts rather than being broadcast whole: the anchor says which
 shard can match, which saves streaming every document through every shard.
@@ -31,12 +36,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mapwright.llm.common import Scratch
 from mapwright.llm.textbytes import keys, mix64, runs, slices, word_bounds, word_hashes
 
-ROW = "anchor long, context long, id long, mark long, lo int, n int"
+ROW = "anchor long, context long, id long, mark long, lo int, n int, hot boolean"
+CUT = "anchor long, second long, id long, mark long, lo int, words binary"
+#: Frequent anchors are 8 bytes; a list of at most this many is sent to all tasks.
+MOST_SENT = 1_000_000
+#: A frequent window's rows are dealt to this many groups.
+SALTS = 256
 
 
 class SuffixAutomaton:
@@ -128,7 +139,7 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             yield buf, start[s], end[s], h[s]
 
 
-def _file_windows(window: int, k: int):
+def _file_windows(window: int, k: int, hot: int):
     q = keys(2 * window, 41)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +158,18 @@ def _file_windows(window: int, k: int):
                 for c, x in zip(cols, (a.view(np.int64), context.view(np.int64), np.full(len(lo), ids[i]), np.full(len(lo), text_mark(h)), lo.astype(np.int32), n.astype(np.int32)), strict=True):
                     c.append(x)
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "context", "id", "mark", "lo", "n"])
+                whole = [np.concatenate(c) for c in cols]
+                _, back, count = np.unique(whole[0], return_inverse=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*whole, count[back] >= hot)], names=["anchor", "context", "id", "mark", "lo", "n", "hot"])
 
     return run
 
 
-def _judge_contexts():
-    """Of sorted rows: repeats of a whole context (open false), and first contexts of anchors with several (open true)."""
+def _judge_contexts(crowded: int):
+    """Of sorted rows: repeats of a whole context (open 0), and first contexts of anchors with several (1) or too many (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[dict[str, np.ndarray]] = []
         names = ["anchor", "context", "id", "mark", "lo", "n"]
 
         def judged(c: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -167,29 +180,33 @@ def _judge_contexts():
             # A row that repeats identifier, text and place is the same occurrence; only its first
             # occurrence's decision stands, which is the previous row's.
             group = np.cumsum(new) - 1
-            several = np.bincount(group, first) > 1
-            keep = (~first & ~twice) | (first & several[group])
+            contexts = np.bincount(group, first)[group]
+            state = np.where(first, np.where(contexts > crowded, 2, 1), 0).astype(np.int32)
+            keep = (~first & ~twice) | (first & (contexts > 1))
             head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
             same = (c["id"] == c["id"][head]) & (c["mark"] == c["mark"][head]) & (c["lo"] == c["lo"][head])
             keep &= first | ~same
             if not keep.any():
                 return None
-            return pa.RecordBatch.from_arrays([*[pa.array(c[n][keep]) for n in ("anchor", "id", "mark", "lo", "n")], pa.array(first[keep])], names=["anchor", "id", "mark", "lo", "n", "open"])
+            return pa.RecordBatch.from_arrays([*[pa.array(c[n][keep]) for n in ("anchor", "id", "mark", "lo", "n")], pa.array(state[keep])], names=["anchor", "id", "mark", "lo", "n", "open"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = {n: batch.column(n).to_numpy() for n in names}
-            if held is not None:
-                cols = {n: np.concatenate([held[n], cols[n]]) for n in names}
+            if held and held[0]["anchor"][-1] == cols["anchor"][-1]:
+                held.append(cols)
+                continue
+            held.append(cols)
+            cols = {n: np.concatenate([c[n] for c in held]) for n in names}
             cut = int(np.searchsorted(cols["anchor"], cols["anchor"][-1], "left"))
             if cut:
                 out = judged({n: v[:cut] for n, v in cols.items()})
                 if out is not None:
                     yield out
-            held = {n: v[cut:] for n, v in cols.items()}
-        if held is not None:
-            out = judged(held)
+            held = [{n: v[cut:] for n, v in cols.items()}]
+        if held:
+            out = judged({n: np.concatenate([c[n] for c in held]) for n in names})
             if out is not None:
                 yield out
 
@@ -259,34 +276,78 @@ def _stream(window: int, shard_words: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, anchor_words: int = 10, shard_words: int = 40_000) -> DataFrame:
-    """One row per input row: identifier, n_words, n_removed, kept (the words left, joined by a space)."""
+def _repeated_windows(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, mark, lo, n) of the windows that aren't the first of their words."""
+    place = F.struct("id", "mark", "lo")
+    nth = F.rank().over(W.partitionBy("anchor", "second", "salt").orderBy("id", "mark", "lo"))
+    placed = scratch.keep(windows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("nth", nth), "windows")
+    # No window has more than SALTS rows from here on.
+    local = placed.where("nth = 1").select("anchor", "second", "id", "mark", "lo").distinct()
+    first = local.groupBy("anchor", "second").agg(F.min(place).alias("first"))
+    beyond = local.join(first, ["anchor", "second"]).where(place != F.col("first"))
+    return placed.where("nth > 1").select("id", "mark", "lo").unionByName(beyond.select("id", "mark", "lo")).withColumn("n", F.lit(1))
+
+
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = 20,
+    anchor_words: int = 10,
+    shard_words: int = 40_000,
+    crowded: int = 4096,
+    hot: int = 64,
+) -> DataFrame:
+    """One row per input row: identifier, n_words, n_removed, kept (the words left, joined by a space).
+
+    Anchors that some batch holds ``hot`` times are counted beforehand. Neither ``shard_words``,
+    ``crowded`` nor ``hot`` changes the result.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     least = -(1 << 63)
     base = docs.select(F.col(id_col).cast("long").alias("real_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    filed = base.select("id", "text").mapInArrow(_file_windows(window, anchor_words), ROW)
-    dealt = filed.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "mark", "lo")
-    judged = scratch.keep(dealt.mapInArrow(_judge_contexts(), "anchor long, id long, mark long, lo int, n int, open boolean"), "judged")
-
-    # First contexts of anchors that have several: their words come from the texts once more.
-    wanted = judged.where("open").groupBy("id").agg(F.collect_list(F.struct("mark", "anchor", "lo", "n")).alias("wanted"))
+    filed = scratch.keep(base.select("id", "text").mapInArrow(_file_windows(window, anchor_words, hot), ROW), "filed")
+    # Fewer than MOST_SENT anchors can hold more than one in MOST_SENT of all rows each.
+    bar = max(crowded, filed.count() // MOST_SENT)
+    frequent = scratch.keep(filed.where("hot").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > bar).select(F.col("anchor").alias("frequent")), "frequent")
+    is_frequent = F.col("anchor") == F.col("frequent")
+    dealt = filed.drop("hot").join(F.broadcast(frequent), is_frequent, "left_anti").repartition("anchor").sortWithinPartitions("anchor", "context", "id", "mark", "lo")
+    judged = scratch.keep(dealt.mapInArrow(_judge_contexts(crowded), "anchor long, id long, mark long, lo int, n int, open int"), "judged")
+    apart = filed.join(F.broadcast(frequent), is_frequent, "left_semi").select("anchor", "id", "mark", "lo", "n", F.lit(2).alias("open"))
+
+    # First contexts of anchors that have several, and all of frequent anchors: their words come from the texts once more.
+    wanted = judged.where("open > 0").unionByName(apart).groupBy("id").agg(F.collect_list(F.struct("mark", "anchor", "lo", "n", "open")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "second", "id", "mark", "lo", "words"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
             ids, wanted, rows = batch.column("id").to_pylist(), batch.column("wanted"), []
+            single: list[list[np.ndarray]] = [[] for _ in range(5)]
             for i, (_, _, _, h) in enumerate(_texts(batch.column("text"))):
-                mark = text_mark(h)
+                mark, at = text_mark(h), []
                 for x in wanted[i].as_py():
-                    if x["mark"] == mark:
-                        rows.append((x["anchor"], ids[i], mark, x["lo"], h[x["lo"] : x["lo"] + x["n"] + window - 1].tobytes()))
+                    if x["mark"] == mark and x["open"] == 2:
+                        at.append(np.arange(x["lo"], x["lo"] + x["n"], dtype=np.int32))
+                    elif x["mark"] == mark:
+                        rows.append((x["anchor"], 0, ids[i], mark, x["lo"], h[x["lo"] : x["lo"] + x["n"] + window - 1].tobytes()))
+                if at:
+                    lo = np.concatenate(at)
+                    pair = [runs(h, window, seed=s)[lo].view(np.int64) for s in (51, 52)]
+                    for c, v in zip(single, (*pair, np.full(len(lo), ids[i], np.int64), np.full(len(lo), mark, np.int64), lo), strict=True):
+                        c.append(v)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "id", "mark", "lo", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            if single[0]:
+                flat = [pa.array(np.concatenate(c), t) for c, t in zip(single, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*flat, pa.nulls(len(flat[0]), pa.binary())], names=names)
 
-    contexts = base.select("id", "text").join(wanted, "id").select("id", "text", "wanted").mapInArrow(cut_out, "anchor long, id long, mark long, lo int, words binary")
+    cut = scratch.keep(base.select("id", "text").join(wanted, "id").select("id", "text", "wanted").mapInArrow(cut_out, CUT), "cut")
     # Rows that repeat identifier and text give a context once.
-    contexts = contexts.repartition("anchor").dropDuplicates(["anchor", "id", "mark", "lo"]).sortWithinPartitions("anchor", "id", "mark", "lo")
-    repeats = contexts.mapInArrow(_stream(window, shard_words), "id long, mark long, lo int, n int").unionByName(judged.where("not open").select("id", "mark", "lo", "n"))
+    contexts = cut.where("words is not null").drop("second").repartition("anchor").dropDuplicates(["anchor", "id", "mark", "lo"]).sortWithinPartitions("anchor", "id", "mark", "lo")
+    repeats = contexts.mapInArrow(_stream(window, shard_words), "id long, mark long, lo int, n int").unionByName(judged.where("open = 0").select("id", "mark", "lo", "n"))
+    repeats = repeats.unionByName(_repeated_windows(cut.where("words is null").drop("words"), scratch))
     # A document's repeats are at most its windows.
     per_doc = scratch.keep(repeats.groupBy("id").agg(F.collect_list(F.struct("mark", "lo", "n")).alias("gone")), "repeats").withColumnRenamed("id", "gone_id")
 

@@ -402,8 +402,8 @@ def test_hamming_blocks_hold_every_item_within_the_radius():
     assert got == {*zip(*map(np.ndarray.tolist, np.nonzero(apart <= 20)), strict=True)} and len(got) > 100
 
 
-@pytest.mark.parametrize("shard_words", [40_000, 60])
-def test_substring_dedup(spark, documents, rows, shard_words):
+@pytest.mark.parametrize(("shard_words", "crowded", "hot"), [(40_000, 4096, 64), (60, 4096, 64), (60, 2, 64), (60, 2, 1), (40_000, 1, 2)])
+def test_substring_dedup(spark, documents, rows, shard_words, crowded, hot):
     from mapwright.llm.substring import remove_repeats
 
     loop = " ".join(["ab", "cd", "ef"] * 40)
@@ -420,7 +420,7 @@ def test_substring_dedup(spark, documents, rows, shard_words):
             own.append(k)
         seen.update(own)
         expected[i] = (len(w), sum(gone), " ".join(a for a, g in zip(w, gone, strict=True) if not g))
-    got = remove_repeats(frame, shard_words=shard_words).collect()
+    got = remove_repeats(frame, shard_words=shard_words, crowded=crowded, hot=hot).collect()
     assert len(got) == len(every) + 1
     for x in got:
         assert (x["n_words"], x["n_removed"], x["kept"]) == expected[x["doc_id"]], x["doc_id"]
