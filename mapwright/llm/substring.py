@@ -13,11 +13,12 @@ automata of their anchor's shards for matching statistics: a window is a repeat
 the match covers it and first ended earlier. An anchor with more words than a
 shard is several automata, each sent the contexts that come after its own.
 
-Anchors of more than ``crowded`` different contexts don't stay together: each of their
-windows is looked at by itself, under 128 bits of its words, in salted groups whose first
-windows are compared once more. So are the most frequent anchors altogether, which a list of
-bounded size names. What the other anchors hold in a task is bounded by ``crowded``
-contexts, or by one in MOST_SENT of all of them if that is more.
+The most frequent anchors, which a list of bounded size names, are dealt to salted groups,
+each of which judges its contexts by itself as they pass. Their first contexts, and those of
+anchors with more than ``crowded`` different ones, don't stay together: each of their windows
+is looked at by itself, under 128 bits of its words, in salted groups whose first windows are
+compared once more. What any other anchor holds in a task is bounded by ``crowded``
+contexts, or by one in MOST_SENT of all rows if that is more.
 
 Shards hold contexts rather than being broadcast whole: the anchor says which
 shard can match, which saves streaming every document through every shard.
@@ -46,7 +47,7 @@ ROW = "anchor long, context long, id long, mark long, lo int, n int, hot boolean
 CUT = "anchor long, second long, id long, mark long, lo int, words binary"
 #: Frequent anchors are 8 bytes; a list of at most this many is sent to all tasks.
 MOST_SENT = 1_000_000
-#: A frequent window's rows are dealt to this many groups.
+#: A frequent anchor's or window's rows are dealt to this many groups.
 SALTS = 256
 
 
@@ -170,19 +171,20 @@ def _judge_contexts(crowded: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
-        names = ["anchor", "context", "id", "mark", "lo", "n"]
+        names = ["anchor", "salt", "context", "id", "mark", "lo", "n"]
 
         def judged(c: dict[str, np.ndarray]) -> pa.RecordBatch | None:
             a, x = c["anchor"], c["context"]
-            new = np.r_[True, a[1:] != a[:-1]]
+            new = np.r_[True, (a[1:] != a[:-1]) | (c["salt"][1:] != c["salt"][:-1])]
+            frequent = c["salt"] >= 0
             first = new | np.r_[True, x[1:] != x[:-1]]
             twice = ~first & np.r_[False, (c["id"][1:] == c["id"][:-1]) & (c["mark"][1:] == c["mark"][:-1]) & (c["lo"][1:] == c["lo"][:-1])]
             # A row that repeats identifier, text and place is the same occurrence; only its first
             # occurrence's decision stands, which is the previous row's.
             group = np.cumsum(new) - 1
             contexts = np.bincount(group, first)[group]
-            state = np.where(first, np.where(contexts > crowded, 2, 1), 0).astype(np.int32)
-            keep = (~first & ~twice) | (first & (contexts > 1))
+            state = np.where(first, np.where(frequent | (contexts > crowded), 2, 1), 0).astype(np.int32)
+            keep = (~first & ~twice) | (first & (frequent | (contexts > 1)))
             head = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
             same = (c["id"] == c["id"][head]) & (c["mark"] == c["mark"][head]) & (c["lo"] == c["lo"][head])
             keep &= first | ~same
@@ -194,11 +196,21 @@ def _judge_contexts(crowded: int):
             if not batch.num_rows:
                 continue
             cols = {n: batch.column(n).to_numpy() for n in names}
-            if held and held[0]["anchor"][-1] == cols["anchor"][-1]:
-                held.append(cols)
-                continue
+            frequent = cols["salt"][-1] >= 0
             held.append(cols)
+            if not frequent and held[0]["anchor"][-1] == cols["anchor"][-1]:
+                continue
             cols = {n: np.concatenate([c[n] for c in held]) for n in names}
+            if frequent:
+                # All of it is judged; the last context's first and last row stay for what follows and are judged
+                # once more, which repeats decisions but changes none.
+                out = judged(cols)
+                if out is not None:
+                    yield out
+                moved = np.flatnonzero((cols["salt"][1:] != cols["salt"][:-1]) | (cols["context"][1:] != cols["context"][:-1]) | (cols["anchor"][1:] != cols["anchor"][:-1]))
+                ends = np.unique([moved[-1] + 1 if len(moved) else 0, len(cols["salt"]) - 1])
+                held = [{n: v[ends] for n, v in cols.items()}]
+                continue
             cut = int(np.searchsorted(cols["anchor"], cols["anchor"][-1], "left"))
             if cut:
                 out = judged({n: v[:cut] for n, v in cols.items()})
@@ -311,13 +323,13 @@ def remove_repeats(
     # Fewer than MOST_SENT anchors can hold more than one in MOST_SENT of all rows each.
     bar = max(crowded, filed.count() // MOST_SENT)
     frequent = scratch.keep(filed.where("hot").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > bar).select(F.col("anchor").alias("frequent")), "frequent")
-    is_frequent = F.col("anchor") == F.col("frequent")
-    dealt = filed.drop("hot").join(F.broadcast(frequent), is_frequent, "left_anti").repartition("anchor").sortWithinPartitions("anchor", "context", "id", "mark", "lo")
+    salt = F.when(F.col("frequent").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    salted = filed.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left").select("anchor", salt.alias("salt"), "context", "id", "mark", "lo", "n")
+    dealt = salted.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "context", "id", "mark", "lo")
     judged = scratch.keep(dealt.mapInArrow(_judge_contexts(crowded), "anchor long, id long, mark long, lo int, n int, open int"), "judged")
-    apart = filed.join(F.broadcast(frequent), is_frequent, "left_semi").select("anchor", "id", "mark", "lo", "n", F.lit(2).alias("open"))
 
-    # First contexts of anchors that have several, and all of frequent anchors: their words come from the texts once more.
-    wanted = judged.where("open > 0").unionByName(apart).groupBy("id").agg(F.collect_list(F.struct("mark", "anchor", "lo", "n", "open")).alias("wanted"))
+    # First contexts of anchors that have several: their words come from the texts once more.
+    wanted = judged.where("open > 0").groupBy("id").agg(F.collect_list(F.struct("mark", "anchor", "lo", "n", "open")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "second", "id", "mark", "lo", "words"]
