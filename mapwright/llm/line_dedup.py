@@ -7,9 +7,11 @@ at least ``share`` of the leaf's lines there, counted once a document; all
 other tokens are variable. What is left is the line's template. Lines whose
 template is in at least ``min_docs`` documents, and is constant in at least half
 of its places, are dropped, as are lines that recur as they are (up to digits).
+Lines of more than ``long_words`` tokens that recur as they are go from two documents
+on, if the documents' texts differ: mere copies of one text keep them.
 
-Leaves that fewer than ``min_docs`` documents reach can hold no such template, so
-only the others' lines are looked at further. A leaf has at most 1 / share
+Leaves that fewer than ``min_docs`` documents reach, and long lines' leaves that one
+text reaches, can hold none of these, so only the others' lines are looked at further. A leaf has at most 1 / share
 constant tokens at each place, so its row of constants is bounded by its token count.
 
 Defined results: a null text has no lines; blank lines are kept and never counted;
@@ -34,46 +36,57 @@ def _key() -> Column:
     return F.xxhash64("id", F.coalesce("text", F.lit("")))
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """id, text, key, lines, and for each line its tokens with fields masked."""
-    tokens = F.transform("lines", lambda s: F.transform(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t)))
+def _mask(token: Column) -> Column:
+    return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
+
+
+def _masked(tokens: Column) -> Column:
+    return F.array_join(F.transform(tokens, _mask), " ")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """The rows with their lines, and for each line its tokens as they stand."""
     out = docs.withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    out = out.withColumn("key", _key()).withColumn("tokens", tokens)
-    leaf = F.transform("tokens", lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, depth), " "))))
-    return out.withColumn("leaves", leaf)
+    return out.withColumn("tokens", F.transform("lines", lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0))))
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, depth: int = 3, share: float = 0.25) -> DataFrame:
+def drop_recurring_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, depth: int = 3, share: float = 0.25, long_words: int = 50
+) -> DataFrame:
     """One row per input row: identifier, n_lines, n_dropped, kept (the text left)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parsed = _lines(base, depth)
-    reached = parsed.select(F.explode(F.array_distinct(F.filter("leaves", lambda x: x.isNotNull()))).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
-    open_leaves = scratch.keep(reached.where(F.col("n") >= min_docs).select(F.col("leaf").alias("open")), "leaves")
+    leaf = lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), _masked(F.slice(t, 1, depth))))
+    parsed = _lines(base).select(_key().alias("key"), F.xxhash64("text").alias("body"), "lines", "tokens")
+    seen = parsed.select("body", F.explode(F.array_distinct(F.transform("tokens", lambda t: F.struct(leaf(t).alias("leaf"), (F.size(t) > long_words).alias("long"))))).alias("x"))
+    reached = seen.select("body", "x.leaf", "x.long").where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), (F.max("long") & (F.min("body") < F.max("body"))).alias("varied"))
+    open_leaves = scratch.keep(reached.where((F.col("n") >= min_docs) | F.col("varied")).select(F.col("leaf").alias("open")), "leaves")
     if open_leaves.count() <= MOST_SENT:
         open_leaves = F.broadcast(open_leaves)
-    items = F.array_distinct(F.arrays_zip(F.col("leaves").alias("leaf"), F.col("tokens").alias("tokens")))
-    each = parsed.select("key", F.explode(items).alias("x")).select("key", "x.leaf", "x.tokens").where("leaf is not null")
+    items = F.array_distinct(F.arrays_zip(F.transform("tokens", leaf).alias("leaf"), F.col("lines").alias("line")))
+    each = parsed.select("key", "body", F.explode(items).alias("x")).select("key", "body", "x.leaf", "x.line").where("leaf is not null")
     lines = each.join(open_leaves, F.col("leaf") == F.col("open"), "left_semi")
-    lines = scratch.keep(lines.select("key", "leaf", F.array_join("tokens", " ").alias("masked")).distinct(), "candidates")
+    masked = _masked(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)))
+    lines = scratch.keep(lines.select("key", "body", "leaf", masked.alias("masked")).distinct(), "candidates")
 
-    forms = scratch.keep(lines.groupBy("leaf", "masked").agg(F.count("*").alias("n")), "forms").withColumn("tokens", F.split("masked", " "))
+    forms = scratch.keep(lines.groupBy("leaf", "masked").agg(F.count("*").alias("n"), (F.min("body") < F.max("body")).alias("varied")), "forms").withColumn("tokens", F.split("masked", " "))
     total = forms.groupBy("leaf").agg(F.sum("n").alias("total"))
     at = forms.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).where(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     constant = at.join(total, "leaf").where(F.col("n") >= share * F.col("total")).groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constant"))
     template = F.transform("tokens", lambda t, i: F.when(F.exists("constant", lambda c: (c["place"] == i) & (c["token"] == t)), t).otherwise(FIELD))
     placed = forms.join(constant, "leaf", "left").withColumn("constant", F.coalesce("constant", F.array().cast("array<struct<place:int,token:string>>"))).withColumn("t", template)
     fixed = F.size(F.filter("t", lambda x: x != FIELD))
-    named = scratch.keep(placed.select("leaf", "masked", "n", F.array_join("t", " ").alias("template"), (2 * fixed >= F.size("t")).alias("firm")), "templates")
+    named = scratch.keep(placed.select("leaf", "masked", "n", (F.col("varied") & (F.size("t") > long_words)).alias("passage"), F.array_join("t", " ").alias("template"), (2 * fixed >= F.size("t")).alias("firm")), "templates")
     spread = lines.join(named.where("firm"), ["leaf", "masked"]).groupBy("leaf", "template").agg(F.count_distinct("key").alias("docs")).where(F.col("docs") >= min_docs)
     by_template = named.join(spread, ["leaf", "template"], "left_semi").where("firm").select("leaf", "masked")
-    gone = by_template.unionByName(named.where(F.col("n") >= min_docs).select("leaf", "masked")).distinct()
+    gone = by_template.unionByName(named.where((F.col("n") >= min_docs) | F.col("passage")).select("leaf", "masked")).distinct()
     # What a document loses is at most its own lines.
     per_doc = scratch.keep(lines.join(gone, ["leaf", "masked"]).groupBy("key").agg(F.collect_set("masked").alias("gone")).withColumnRenamed("key", "lost_by"), "gone")
-    # Texts move, their tokens don't: they are parsed again behind the join.
+    # Texts move, their tokens don't: those that lose lines are parsed again behind the join.
     out = base.withColumn("text_key", _key()).join(per_doc, F.col("text_key") == F.col("lost_by"), "left").drop("text_key")
-    out = _lines(out, depth)
-    keep = F.zip_with("lines", "tokens", lambda s, t: F.when((F.size(t) > 0) & F.coalesce(F.array_contains("gone", F.array_join(t, " ")), F.lit(False)), F.lit(None).cast("string")).otherwise(s))
-    out = out.select("id", F.size("lines").cast("long").alias("n_lines"), F.filter(keep, lambda s: s.isNotNull()).alias("kept"))
+    out = _lines(out)
+    keep = F.zip_with("lines", "tokens", lambda s, t: F.when(F.array_contains("gone", _masked(t)), F.lit(None).cast("string")).otherwise(s))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter(keep, lambda s: s.isNotNull()))
+    out = out.select("id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select(F.col("id").alias(id_col), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))

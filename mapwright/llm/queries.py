@@ -110,20 +110,20 @@ select c as conv_id, perspective, part, coalesce(sum(length(rendered)) over (par
 """
 
 OP5_SQL = r"""
-with d as (select doc_id, string_split(text, chr(10)) as lines from documents),
-l as (select doc_id, unnest(range(len(lines))) as pos, unnest(lines) as line from d),
-t as (select doc_id, pos, line, [case when regexp_matches(w, '[0-9]') then '<*>' else w end for w in regexp_extract_all(line, '[^\x20\x09-\x0D]+')] as w from l),
+with d as (select doc_id, md5(text) as body, string_split(text, chr(10)) as lines from documents),
+l as (select doc_id, body, unnest(range(len(lines))) as pos, unnest(lines) as line from d),
+t as (select doc_id, body, pos, line, [case when regexp_matches(w, '[0-9]') then '<*>' else w end for w in regexp_extract_all(line, '[^\x20\x09-\x0D]+')] as w from l),
 k as (select *, array_to_string(w, ' ') as masked, len(w) || '|' || array_to_string(w[1:3], ' ') as leaf from t where len(w) > 0),
-open_ as (select leaf from k group by leaf having count(distinct doc_id) >= 5),
-c as (select distinct doc_id, leaf, masked, w from k where leaf in (select leaf from open_)),
-f as (select leaf, masked, w, count(*) as n from c group by all),
+open_ as (select leaf from k group by leaf having count(distinct doc_id) >= 5 or (max(len(w)) > 50 and count(distinct body) > 1)),
+c as (select distinct doc_id, body, leaf, masked, w from k where leaf in (select leaf from open_)),
+f as (select leaf, masked, w, count(*) as n, count(distinct body) > 1 and len(w) > 50 as passage from c group by leaf, masked, w),
 total as (select leaf, sum(n) as total from f group by leaf),
 places as (select leaf, n, unnest(range(len(w))) as i, unnest(w) as token from f),
 const as (select leaf, i, token from places join total using (leaf) where token <> '<*>' group by leaf, i, token, total having sum(n) >= 0.25 * total),
-named as (select p.leaf, p.masked, string_agg(case when const.token is null then '<*>' else p.token end, ' ' order by p.i) as template, 2 * count(const.token) >= count(*) as firm, any_value(p.n) as n
-          from (select leaf, masked, n, unnest(range(len(w))) as i, unnest(w) as token from f) p left join const on const.leaf = p.leaf and const.i = p.i and const.token = p.token group by p.leaf, p.masked),
+named as (select p.leaf, p.masked, string_agg(case when const.token is null then '<*>' else p.token end, ' ' order by p.i) as template, 2 * count(const.token) >= count(*) as firm, any_value(p.n) as n, any_value(p.passage) as passage
+          from (select leaf, masked, n, passage, unnest(range(len(w))) as i, unnest(w) as token from f) p left join const on const.leaf = p.leaf and const.i = p.i and const.token = p.token group by p.leaf, p.masked),
 spread as (select leaf, template from c join named using (leaf, masked) where firm group by all having count(distinct doc_id) >= 5),
-gone as (select leaf, masked from named where n >= 5 union select leaf, masked from named join spread using (leaf, template) where firm),
+gone as (select leaf, masked from named where n >= 5 or passage union select leaf, masked from named join spread using (leaf, template) where firm),
 kept as (select t.doc_id, t.pos, t.line, g.masked is not null as lost from t left join k on k.doc_id = t.doc_id and k.pos = t.pos left join gone g on g.leaf = k.leaf and g.masked = k.masked)
 select doc_id, count(*) as n_lines, count_if(lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256 from kept group by doc_id
 """

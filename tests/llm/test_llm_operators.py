@@ -214,6 +214,10 @@ def test_line_templates(spark, documents):
     assert all(got[i]["n_lines"] == 4 and got[i]["n_dropped"] == 2 and got[i]["kept"].startswith("\nown") for i in range(8))
     assert (got[8]["n_lines"], got[9]["n_lines"], got[9]["n_dropped"], got[None]["kept"]) == (0, 1, 0, "only here")
     assert drop_recurring_lines(documents(pairs)).count() == len(pairs)
+    # From 51 words on a line goes if two texts have it, but not if copies of one text do.
+    words = lambda n, c: " ".join(f"{c}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(n))
+    long = [(1, words(51, "x") + "\nmine"), (2, "yours\n" + words(51, "x")), (3, words(50, "y") + "\none"), (4, words(50, "y") + "\ntwo"), (5, words(60, "z")), (6, words(60, "z"))]
+    assert {x["doc_id"]: x["n_dropped"] for x in drop_recurring_lines(documents(long)).collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
     assert drop_recurring_lines(empty(spark)).count() == 0
 
 
