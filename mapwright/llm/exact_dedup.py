@@ -14,6 +14,9 @@ Columns of the input other than identifier and text are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +27,10 @@ from mapwright.llm.common import Scratch, ascii_lower
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": "100000", "parquet.bloom.filter.max.bytes": "262144"}
 
 
+#: Keys of one lookup; each is an equality of its own, as filters answer no ranges.
+MOST_LOOKED_UP = 64
+
+
 class DigestIndex:
     """Sorted digest runs in level 0, one compacted level above them.
 
@@ -42,17 +49,29 @@ class DigestIndex:
         self.runs.append(name)
         return self.scratch.keep(rows.sortWithinPartitions("key", "rank"), name, **RUN_OPTIONS)
 
-    def compact(self) -> DataFrame:
-        """Merge all runs not yet merged, and the merged level, into (key, rank, n)."""
+    def _parts(self) -> list[DataFrame]:
+        """Runs not yet merged and the merged level, as (key, rank, n)."""
         parts = [self.spark.read.parquet(self.scratch.path(r)).select("key", "rank", F.lit(1).cast("long").alias("n")) for r in self.runs]
         if self.merged is not None:
             parts.append(self.merged)
         if not parts:
             raise ValueError("nothing was flushed")
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        level = every.groupBy("key").agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+        return parts
+
+    @staticmethod
+    def _merge(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+
+    def lookup(self, keys: list[bytes]) -> DataFrame:
+        """(key, rank, n) of those of a few digests that runs or level hold; row groups whose filter lacks them aren't read."""
+        if len(keys) > MOST_LOOKED_UP:
+            raise ValueError(f"a lookup takes at most {MOST_LOOKED_UP} keys; join with the level instead")
+        wanted = reduce(or_, [F.col("key") == F.lit(bytearray(k)) for k in keys], F.lit(False))
+        return self._merge([p.where(wanted) for p in self._parts()])
+
+    def compact(self) -> DataFrame:
+        """Merge all runs not yet merged, and the merged level, into (key, rank, n)."""
+        level = self._merge(self._parts())
         self.generation += 1
         self.merged = self.scratch.keep(level.sortWithinPartitions("key"), f"level-{self.generation}", **RUN_OPTIONS)
         self.runs = []

@@ -49,6 +49,36 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, key string")
 
 
+def test_digest_index_over_several_flushes(spark, capsys):
+    """Runs and compactions in turn hold what a dictionary holds; lookups are equalities that reach the files."""
+    from mapwright.llm.common import Scratch
+    from mapwright.llm.exact_dedup import MOST_LOOKED_UP, DigestIndex
+
+    r, least, count = random.Random(4), {}, Counter()
+    index = DigestIndex(spark, Scratch(spark, "index"))
+    with pytest.raises(ValueError):
+        index.lookup([b"a"])
+    for step in range(5):
+        batch = [(bytes([r.randrange(40)]) * 4, r.randrange(1000)) for _ in range(60)]
+        index.flush(spark.createDataFrame([(bytearray(k), i) for k, i in batch], "key binary, rank long").repartition(3))
+        for k, i in batch:
+            least[k] = min(i, least.get(k, i))
+            count[k] += 1
+        if step in (1, 3):
+            level = {bytes(x.key): (x.rank, x.n) for x in index.compact().collect()}
+            assert level == {k: (least[k], count[k]) for k in least}
+            assert not index.runs
+        asked = [*r.sample(sorted(least), 5), b"none"]
+        got = index.lookup(asked)
+        assert {bytes(x.key): (x.rank, x.n) for x in got.collect()} == {k: (least[k], count[k]) for k in asked if k in least}
+    index.lookup(asked[:1]).explain("formatted")
+    pushed = re.findall(r"PushedFilters: (.*)", capsys.readouterr().out)
+    assert len(pushed) == 2 and all("EqualTo(key" in x for x in pushed)
+    assert index.lookup([]).count() == 0
+    with pytest.raises(ValueError):
+        index.lookup([b"a"] * (MOST_LOOKED_UP + 1))
+
+
 @pytest.mark.parametrize("digest_bytes", [32, 1])
 def test_exact_dedup(spark, documents, rows, digest_bytes):
     from mapwright.llm.exact_dedup import exact_dedup
