@@ -251,4 +251,20 @@ select doc_id, pos, b <> '' and list_contains([{", ".join(quoted(w) for w in K.T
     "read_flags": "select event_id, event_id % 7 in (0, 2, 4, 6) as relevant, event_id % 7 in (0, 2) as is_meta from events",
     "evaluation_handoff": f"""with {BM25}, {bm25_top(3)}, c as (select item_id, string_agg(text, '|' order by rank) as t, count(*) as n from kw join documents using (doc_id) group by item_id)
 select item_id, md5(coalesce(t, '')) as contexts_md5, coalesce(n, 0) as n, true as same from benchmark left join c using (item_id)""",
+    "heal_sentences": f"""with recursive s as (select doc_id, [{strip("regexp_replace(x, '[.]$', '')")} for x in string_split(text, chr(10))] as ls from documents),
+k as (select doc_id, list_filter(ls, lambda x: x <> '') as ls from s), l as (select doc_id, unnest(range(len(ls))) as i, unnest(ls) as t from k),
+r as (select doc_id, i, 0 as pos, t as text from l where i = 0
+union all select doc_id, i, case when j then pos else pos + 1 end, case when j then text || ' ' || t else t end from (
+select r.doc_id, l.i, r.pos, r.text, l.t, not regexp_matches(r.text, '[.!?]$') and length({strip("regexp_replace(r.text, '(?s)^.*[.!?]', '')")}) < 80
+and (regexp_matches(l.t, '^[\\p{{Ll}}\\p{{Nd}}]') or coalesce(list_contains([{", ".join(quoted(w) for w in K.TRAILING_WORDS)}], lower(regexp_extract(regexp_replace(r.text, '[.!?]+$', ''), '(\\S+)\\s*$', 1))), false)) as j
+from r join l on l.doc_id = r.doc_id and l.i = r.i + 1))
+select doc_id, pos::int as pos, arg_max(text, i) as text from r group by all""",
+    "llm_extracted_controls": f"""with d as (select doc_id, string_split(text, chr(10))[2] as line, trim(regexp_replace(text, '\\s+', ' ', 'g')) as seg from documents),
+t as (select doc_id, seg, {strip('line')} as raw_text from d where line <> ''),
+n as (select *, instr(seg, trim(regexp_replace(raw_text[1:60], '\\s+', ' ', 'g'))) as spot from t where length(raw_text) >= 50)
+select doc_id, '2.1' as section, raw_text, (case when spot > 0 then spot - 1 else length(seg) end)::int as place from n""",
+    "page_segments": f"""with m as (select doc_id, regexp_replace(text, '\\n([A-ZÉÀ])', chr(10) || '3.1  \\1', 'g') as c from documents),
+p as (select doc_id, c, string_split(ltrim(regexp_replace(c, '(?m)^([0-9]+(?:[.][0-9]+)*\\s{{2,}}\\S)', chr(1) || '\\1', 'g'), chr(1)), chr(1)) as ls from m where c is not null),
+s as (select doc_id, case when length(c) <= 1500 or len(ls) <= 1 then [c] else list_filter([{strip('x')} for x in ls], lambda x: x <> '') end as ls from p)
+select doc_id, unnest(range(len(ls)))::int as pos, md5(unnest(ls)) as segment_md5 from s""",
 }
