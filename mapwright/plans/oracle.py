@@ -108,6 +108,8 @@ verdicts as (select event_id, user_id, k,
   case when k = 'good' and conf = 0 then event_type when k = 'lack' then 'none' when k = 'other' then 'Invalid LLM output: unknown response type.' end as reason,
   case when k = 'good' and conf = 0 then 'Policy text directly addressing the control.' when k = 'lack' then 'more' when k = 'other' then 'Response must be MappingRationale or InsufficientEvidence.' end as required_context from told)"""
 
+UID = "regexp_replace(left(sha256({0}), 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
 REPORTED = f"""{ANSWERS},
 firsts as (select * from verdicts qualify row_number() over (partition by user_id order by event_id) = 1),
 seen as (select user_id, event_id from verdicts),
@@ -267,4 +269,18 @@ select doc_id, '2.1' as section, raw_text, (case when spot > 0 then spot - 1 els
 p as (select doc_id, c, string_split(ltrim(regexp_replace(c, '(?m)^([0-9]+(?:[.][0-9]+)*\\s{{2,}}\\S)', chr(1) || '\\1', 'g'), chr(1)), chr(1)) as ls from m where c is not null),
 s as (select doc_id, case when length(c) <= 1500 or len(ls) <= 1 then [c] else list_filter([{strip('x')} for x in ls], lambda x: x <> '') end as ls from p)
 select doc_id, unnest(range(len(ls)))::int as pos, md5(unnest(ls)) as segment_md5 from s""",
+    "markdown_report": f"""with {REPORTED}, x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, {strip("replace(raw_text, chr(10), ' ')")} as l from chunked),
+t as (select user_id, '**Supporting Evidence:**' || chr(10) || chr(10) || '| # | Source | Page | Section | Excerpt |' || chr(10) || '|---|--------|------|---------|---------|' || chr(10)
+|| string_agg('| ' || i || ' | events | 1 | — | ' || case when length(l) > 120 then left(l, 117) || '...' else l end || ' |' || chr(10), '' order by i) || chr(10) as rows from x group by user_id),
+v as (select user_id, case when kind = 'MappingRationale' then case compliance_level when 'fully_compliant' then '✅ Compliant' when 'partially_compliant' then '\U0001f7e1 Partially compliant' else '⚠️ Non-compliant' end || printf(' (%.2f)', confidence_score) when kind = 'InsufficientEvidence' then 'Insufficient evidence' else 'N/A' end as verdict,
+coalesce(case kind when 'MappingRationale' then explanation when 'InsufficientEvidence' then reason end, '') as why from firsts)
+select user_id::varchar as control_id, '## ' || user_id || ' — User ' || user_id || chr(10) || chr(10) || '**Framework:** F | **Verdict:** ' || verdict || chr(10) || chr(10) || case when why <> '' then '**Rationale:** ' || why || chr(10) || chr(10) else '' end || coalesce(rows, '') || '---' || chr(10) as section
+from v left join t using (user_id)""",
+    "oscal_findings": f"""with {REPORTED}, h as (select user_id, event_id, raw_text, {UID.format("'observation|F|' || user_id || '|e' || event_id")} as seen, {UID.format("'subject|e' || event_id")} as subject from chunked),
+o as (select user_id, string_agg('{{"observation-uuid":"' || seen || '"}}', ',' order by event_id) as related,
+string_agg('{{"uuid":"' || seen || '","description":' || to_json(raw_text)::varchar || ',"methods":["EXAMINE"],"subjects":[{{"subject-uuid":"' || subject || '","type":"component","title":"events","props":[{{"name":"chunk-id","value":"e' || event_id || '"}},{{"name":"page-number","value":"1"}}]}}]}}', ',' order by event_id) as observations from h group by user_id),
+f as (select *, {UID.format("'finding|F|' || user_id")} as uid, case compliance_level when 'fully_compliant' then 'satisfied' when 'partially_compliant' then 'alternative' else 'not-satisfied' end as state,
+case kind when 'MappingRationale' then 'Compliant: ' || case when is_compliant then 'True' else 'False' end || ', Confidence: ' || confidence_score::double::varchar || ', Explanation: ' || explanation when 'InsufficientEvidence' then 'Insufficient evidence: ' || reason || '. Required: ' || required_context end as remark from firsts)
+select user_id::varchar as control_id, '{{"uuid":"' || uid || '","title":"' || user_id || ': User ' || user_id || '","description":"About a user.","target":{{"type":"objective-id","target-id":"' || user_id || '","status":{{"state":"' || state || '"}}}},"related-observations":[' || coalesce(related, '') || ']' || coalesce(',"remarks":' || to_json(remark)::varchar, '') || '}}' as finding,
+'[' || coalesce(observations, '') || ']' as observations from f left join o using (user_id)""",
 }
