@@ -108,6 +108,9 @@ verdicts as (select event_id, user_id, k,
   case when k = 'good' and conf = 0 then event_type when k = 'lack' then 'none' when k = 'other' then 'Invalid LLM output: unknown response type.' end as reason,
   case when k = 'good' and conf = 0 then 'Policy text directly addressing the control.' when k = 'lack' then 'more' when k = 'other' then 'Response must be MappingRationale or InsufficientEvidence.' end as required_context from told)"""
 
+FURNITURE = "regexp_matches(t, '^(?i:Page\\s+\\d+|Version\\s+[\\d.]+|Classification:\\s+|CONFIDENTIAL$|This document is the property|Unauthorized\\s+distribut|Effective:\\s+)')"
+HEAD = "regexp_matches(t, '^(?i:(?:(?:Section|Chapter|Part)\\s+\\d+|APPENDIX\\s+[A-Z]|\\d+(?:\\.\\d+)*)(?:\\s*[:\\-—]\\s*|\\s{2,})\\S)')"
+
 UID = "regexp_replace(left(sha256({0}), 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
 REPORTED = f"""{ANSWERS},
@@ -191,9 +194,9 @@ select doc_id, pos, case when r2 = 'body' and head + 1 < n - head - 1 and i <= h
 select doc_id, pos, row_number() over (partition by doc_id order by page, coalesce((x0 >= sx)::int, 0), y0, pos) as place from blocks left join s using (doc_id, page)""",
     "page_text": f"with {BLOCKS} select doc_id, page, md5(string_agg(text, chr(10) order by pos)) as text_md5 from blocks group by doc_id, page having trim(string_agg(text, chr(10) order by pos)) <> ''",
     "boilerplate_repeats": f"""with {BLOCKS}, t as (select doc_id, pos, {strip('text')} as t from blocks)
-select doc_id, pos from (select *, count(*) over (partition by doc_id, t) as n from t) where n < 2 and t <> '' and not regexp_matches(t, '^(?i:Page\\s+\\d+|Version\\s+[\\d.]+|Classification:\\s+|CONFIDENTIAL$|This document is the property|Unauthorized\\s+distribut|Effective:\\s+)')""",
+select doc_id, pos from (select *, count(*) over (partition by doc_id, t) as n from t) where n < 2 and t <> '' and not {FURNITURE}""",
     "structural_sections": f"""with {BLOCKS}, p as (select doc_id, pos, page, case when pos % 6 = 2 then 'Section ' || pos || ': Title' when pos % 11 = 7 then (pos % 9) || '.1  Purpose' else {strip('text')} end as t, pos % 6 = 2 or pos % 11 = 7 as planted from blocks),
-k as (select *, planted or regexp_matches(t, '^(?i:(?:(?:Section|Chapter|Part)\\s+\\d+|APPENDIX\\s+[A-Z]|\\d+(?:\\.\\d+)*)(?:\\s*[:\\-—]\\s*|\\s{{2,}})\\S)') as h from p where t <> ''),
+k as (select *, planted or {HEAD} as h from p where t <> ''),
 n as (select *, sum(h::int) over (partition by doc_id order by pos) as section_no from k),
 s as (select doc_id, section_no, any_value(t) filter (h) as header, arg_min(page, pos) as page, flatten(list({SENT.format('t')} order by pos) filter (not h)) as s from n group by all)
 select doc_id, section_no, header, page, len(s) as n_sentences, md5(array_to_string(s, '|')) as sentences_md5 from s where len(s) > 0""",
@@ -283,4 +286,11 @@ f as (select *, {UID.format("'finding|F|' || user_id")} as uid, case compliance_
 case kind when 'MappingRationale' then 'Compliant: ' || case when is_compliant then 'True' else 'False' end || ', Confidence: ' || confidence_score::double::varchar || ', Explanation: ' || explanation when 'InsufficientEvidence' then 'Insufficient evidence: ' || reason || '. Required: ' || required_context end as remark from firsts)
 select user_id::varchar as control_id, '{{"uuid":"' || uid || '","title":"' || user_id || ': User ' || user_id || '","description":"About a user.","target":{{"type":"objective-id","target-id":"' || user_id || '","status":{{"state":"' || state || '"}}}},"related-observations":[' || coalesce(related, '') || ']' || coalesce(',"remarks":' || to_json(remark)::varchar, '') || '}}' as finding,
 '[' || coalesce(observations, '') || ']' as observations from f left join o using (user_id)""",
+    "join_paragraphs": f"""with recursive {BLOCKS}, s as (select doc_id, pos, page::int as page, x0, y0, x0 + w as x1, y0 + 12 as y1, {strip('text')} as t from blocks),
+k as materialized (select *, {HEAD} as h, row_number() over (partition by doc_id order by pos) as i from (select *, count(*) over (partition by doc_id, t) as n from s) where n < 2 and t <> '' and not {FURNITURE}),
+r as (select doc_id, i, 0 as paragraph, page, x0, y0, x1, y1, t from k where i = 1
+union all select doc_id, i, case when j then paragraph else paragraph + 1 end, page, case when j then least(a0, x0) else x0 end, case when j then b0 else y0 end, case when j then greatest(a1, x1) else x1 end, y1, case when j then before || ' ' || t else t end from (
+select k.*, r.paragraph, r.x0 as a0, r.y0 as b0, r.x1 as a1, r.t as before, r.page = k.page and abs(r.x0 - k.x0) < 5 and k.y0 >= r.y1 and k.y0 - r.y1 <= greatest((r.y1 - r.y0) * 1.5, 20) and not {HEAD.replace('(t,', '(r.t,')} and not k.h as j
+from r join k on k.doc_id = r.doc_id and k.i = r.i + 1))
+select doc_id, paragraph::int as paragraph, page, x0, y0, x1, y1, t as text from r qualify row_number() over (partition by doc_id, paragraph order by i desc) = 1""",
 }
