@@ -251,6 +251,22 @@ def test_line_templates(spark, documents):
     assert drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_lines_of_any_white_space_and_length(spark, documents):
+    """Lines are the same whatever stands between their tokens; neither long tokens nor long lines take more than their length."""
+    from mapwright.llm.line_dedup import drop_recurring_lines
+
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    gaps = [" ", "  ", "\t", " \x0b", "\r\x0c "]
+    spaced = [(i, f"{g}sent{g}by{g}a{i}7b{g}from{g}desk{g}\nown {letters(i)}") for i, g in enumerate(gaps)]
+    long = [(10 + i, " ".join(letters(k) for k in range(20_000)) + f" {i}\nmine {letters(i)}") for i in range(2)]
+    token = [(20 + i, "é" * 200_000 + f"{i}x\nyours {letters(i)}") for i in range(5)]
+    got = {x["doc_id"]: (x["n_dropped"], x["kept"]) for x in drop_recurring_lines(documents(spaced + long + token)).collect()}
+    assert all(got[i] == (1, f"own {letters(i)}") for i in range(5))
+    assert all(got[10 + i] == (1, f"mine {letters(i)}") for i in range(2))
+    # A line that is one field is constant in none of its places, yet recurs as it is.
+    assert all(got[20 + i] == (1, f"yours {letters(i)}") for i in range(5))
+
+
 def test_mixing(spark, documents, rows):
     from mapwright.llm.mixing import mix_sources
 
