@@ -1,4 +1,8 @@
-"""Page layout: columns, running heads and feet, reading order. One shuffle by document page or signature each."""
+"""Page layout: columns, running heads and feet, reading order.
+
+Roles and reading order are windows over blocks dealt by document once; what groups
+by page or signature within the document moves nothing more.
+"""
 
 from __future__ import annotations
 
@@ -27,10 +31,15 @@ def detect_layout(blocks: DataFrame, page: list[str], gap: float = GAP, least_wi
 
 def order_by_columns(blocks: DataFrame, doc: str, page: str, pos: str = "pos", gap: float = GAP) -> DataFrame:
     """Adds ``place``: reading order in the document; left column first where a page has a gap."""
-    starts = _starts(blocks, [doc, page])
-    split = starts.where(F.col("x") - F.col("before") >= gap).groupBy(doc, page).agg(F.min_by((F.col("before") + F.col("x")) / 2, "x").alias("split_x"))
-    sided = blocks.join(split, [doc, page], "left").withColumn("side", F.coalesce((F.col("x0") >= F.col("split_x")).cast("int"), F.lit(0)))
-    return sided.withColumn("place", F.row_number().over(W.partitionBy(doc).orderBy(page, "side", "y0", pos))).drop("split_x", "side")
+    of_page = W.partitionBy(doc, page)
+    every = of_page.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    frame = blocks.repartition(doc).withColumn("_x", F.bround("x0"))
+    # Edges repeat here: a repeat lies 0 from the one before, only the first of its kind has a gap.
+    frame = frame.withColumn("_before", F.lag("_x").over(of_page.orderBy("_x")))
+    apart = (F.col("_x") > F.col("_before")) & (F.col("_x") - F.col("_before") >= gap) & F.col(doc).isNotNull() & F.col(page).isNotNull()
+    frame = frame.withColumn("_split", F.min_by((F.col("_before") + F.col("_x")) / 2, F.when(apart, F.col("_x"))).over(every))
+    sided = frame.withColumn("_side", F.coalesce((F.col("x0") >= F.col("_split")).cast("int"), F.lit(0)))
+    return sided.withColumn("place", F.row_number().over(W.partitionBy(doc).orderBy(page, "_side", "y0", pos))).drop("_x", "_before", "_split", "_side")
 
 
 def classify_by_margin(y0, page_height, margin: float = 70.0):
@@ -41,10 +50,13 @@ def classify_by_margin(y0, page_height, margin: float = 70.0):
 def classify_blocks(blocks: DataFrame, doc: str, page: str, pos: str = "pos", text: str = "text") -> DataFrame:
     """Adds ``role``: text that recurs on pages at one height, then blocks set apart by a gap."""
     of_page = W.partitionBy(doc, page)
-    frame = blocks.withColumn("_sig", F.struct(T.comparable(F.col(text)).alias("t"), F.bround(F.col("y0") / 20.0).alias("y")))
+    frame = blocks.where(F.col(doc).isNotNull()).repartition(doc)
+    frame = frame.withColumn("_sig", F.struct(T.comparable(F.col(text)).alias("t"), F.bround(F.col("y0") / 20.0).alias("y")))
     frame = frame.withColumn("_mid", (F.min("y0").over(of_page) + F.max("y0").over(of_page)) / 2)
-    sig = frame.groupBy(doc, "_sig").agg(F.count_distinct(page).alias("_pages"), F.min_by(F.when(F.col("y0") < F.col("_mid"), "header").otherwise("footer"), pos).alias("_role"))
-    frame = frame.join(sig, [doc, "_sig"]).withColumn("role", F.when(F.col("_pages") >= 2, F.col("_role")).otherwise("body"))
+    alike = W.partitionBy(doc, "_sig")
+    recurs = F.min(page).over(alike) < F.max(page).over(alike)
+    edge = F.min_by(F.when(F.col("y0") < F.col("_mid"), "header").otherwise("footer"), pos).over(alike)
+    frame = frame.withColumn("role", F.when(recurs, edge).otherwise("body")).drop("_sig", "_mid")
     order = of_page.orderBy("y0", pos)
     every = of_page.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     body = F.col("role") == "body"

@@ -60,6 +60,23 @@ def test_all_boilerplate_gives_nothing(spark):
     assert C.chunk_documents(blocks(spark, [(1, 0, 1.0, 1.0, 2.0, 2.0, "Page 1")]), "doc", "pos").count() == 0
 
 
+def test_chunks_take_one_shuffle_and_no_vectors(spark):
+    text = ["Alpha beta gamma delta epsilon zeta eta theta iota.", "Alpha beta gamma delta epsilon zeta eta theta kappa.", "Nothing of it is shared by these other words here.", "!!! ... ???", "Alpha beta gamma delta epsilon zeta eta theta kappa."]
+    rows = [(1 + i // 4, i, 50.0 + 300 * (i % 2), 60.0 + 40 * i, 90.0, 70.0 + 40 * i, t) for i, t in enumerate(text)]
+    body = L.order_by_columns(L.classify_blocks(blocks(spark, rows), "doc", "page").where("role = 'body'").drop("role"), "doc", "page")
+    chunks = C.chunk_documents(body, "doc", least=5)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "array<array<double>>" not in plan and "Join" not in plan
+    assert sorted(chunks.collect()) == sorted(C.chunk_documents(body, "doc", embedder=R.embedding_of_each(), least=5).collect()) != []
+
+
+def test_cosines_of_neighbours_are_those_of_the_vectors(spark):
+    texts = [["One two two.", "two one", "", "??", "three three one two"], [], ["alone"]]
+    frame = spark.createDataFrame([(t,) for t in texts], "t array<string>").withColumn("c", R.neighbour_cosines()(F.col("t"))).withColumn("v", R.embedding_of_each()(F.col("t")))
+    for r in frame.withColumn("e", F.transform("t", lambda x, i: F.when(i > 0, T.cosine(F.get("v", i - 1), F.get("v", i))))).collect():
+        assert r["c"] == r["e"]
+
+
 @pytest.mark.parametrize(
     ("f", "given", "expected"),
     [
