@@ -378,6 +378,25 @@ def test_pii_terms_of_one_document(spark, documents):
     assert all(got[i]["terms"] == got[0]["terms"] for i in range(100, 105))
 
 
+def test_pii_moves_whole_texts_once(spark, documents):
+    """What is shuffled is little more than the texts."""
+    from mapwright.llm.pii import find_pii
+
+    r = random.Random(11)
+    # One long text field a document, of few distinct words, that doesn't compress.
+    pairs = [(i, f"Name{'abcdefghij'[i % 10]}q wrote to u{i}@example.com. " + "".join(r.choice("0123456789!#$%&()*/:;<=>?[]^_{|}~") for _ in range(20_000))) for i in range(60)]
+    moved = lambda: sum(st.shuffleWriteBytes() for st in _stages(spark))
+    before = moved()
+    assert find_pii(documents(pairs)).count() == 60
+    assert moved() - before < 1.5 * sum(len(t) for _, t in pairs)
+
+
+def _stages(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    found = store.stageList(None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_decontamination(spark, documents, rows):
     from mapwright.llm.decontaminate import decontaminate, find_contamination
 
