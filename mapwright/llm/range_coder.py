@@ -7,205 +7,233 @@ Model of a block: an order-2 and an order-1 table give one predicted id each and
 how often it has held lately; for each such level of trust the block learns how often
 that order is right, and the two shares and the rest are mixed into one split of the
 interval: order-2 prediction, order-1 prediction, or escape. An escaped id is
-coded by order 0: learnt frequencies of its upper byte, its lower byte evenly.
+coded by order 0: the frequencies of all ids of the segment that the block belongs to,
+counted beforehand and kept beside its blocks. A block without a segment carries its own.
+
+The coder is the range variant of asymmetric numeral systems: a state of 63 bits to
+which 32-bit words are added, written from a block's end to its start.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
 
-_U = np.uint64
-SLOTS = 512
-_16, _48 = _U(16), _U(48)
-_BOTTOM = _U(1 << 40)
+#: Of each order and block; more lanes' tables than a core's cache holds cost more than they predict.
+SLOTS = 256
+#: Bits of a split between the orders, and of an order-0 frequency.
+_MIX, _ZERO = 15, 16
+_ALL, _WHOLE = 1 << _MIX, 1 << _ZERO
+_LEAST = 1 << 31
+# Prediction: id + 1 in the lower 17 bits, trust above.
+_TRUST, _ID = 1 << 17, (1 << 17) - 1
 
 
 class _Model:
+    """Of all lanes; what stands in row 0 is order 2, in row 1 order 1."""
+
     def __init__(self, lanes: int):
-        self.n = lanes
-        self.at = np.arange(lanes, dtype=np.int64)
-        self.base = self.at * SLOTS
-        self.two = np.zeros(lanes * SLOTS, np.uint32)  # id + 1 in the lower 17 bits, trust above
-        self.one = np.zeros(lanes * SLOTS, np.uint32)
-        self.hit2 = np.full(lanes * 4, 16384, np.int64)
-        self.hit1 = np.full(lanes * 4, 16384, np.int64)
-        # Counts below each of 16 groups of upper bytes, and below each of a group's 16.
-        self.groups = np.tile(np.arange(17, dtype=np.uint16) * np.uint16(16), (lanes, 1))
-        self.inner = np.tile(np.arange(17, dtype=np.uint16), (lanes * 16, 1))
-        self.c1 = np.zeros(lanes, np.int64)
-        self.c2 = np.zeros(lanes, np.int64)
-        # What a count of 8 for the row's own place adds.
-        self.more = ((np.arange(17)[None, :] > np.arange(16)[:, None]) * 8).astype(np.uint16)
-
-    def predict(self) -> tuple:
-        self.s1 = self.base + ((self.c1 * 40503) >> 3 & (SLOTS - 1))
-        self.s2 = self.base + (((self.c1 * 40503 + self.c2 * 30011) >> 4) & (SLOTS - 1))
-        self.e1, self.e2 = self.one[self.s1], self.two[self.s2]
-        self.p1, self.p2 = (self.e1 & 0x1FFFF).astype(np.int64) - 1, (self.e2 & 0x1FFFF).astype(np.int64) - 1
-        self.a1, self.a2 = self.at * 4 + (self.e1 >> 17), self.at * 4 + (self.e2 >> 17)
-        self.w1, self.w2 = self.hit1[self.a1], self.hit2[self.a2]
-        f2 = np.where(self.p2 < 0, 0, self.w2)
-        f1 = np.where((self.p1 < 0) | (self.p1 == self.p2), 0, ((65536 - f2) * self.w1) >> 16)
-        return f2, f1
-
-    def learn(self, ids: np.ndarray, escaped: np.ndarray) -> None:
-        right2, right1 = ids == self.p2, ids == self.p1
-        self.hit2[self.a2] = np.clip(self.w2 + ((np.where(right2, 65536, 0) - self.w2) >> 4), 512, 62000)
-        self.hit1[self.a1] = np.clip(self.w1 + ((np.where(right1, 65536, 0) - self.w1) >> 4), 512, 56000)
-        fresh = (ids + 1).astype(np.uint32)
-        t2, t1 = self.e2 >> 17, self.e1 >> 17
-        self.two[self.s2] = np.where(right2, fresh | (np.minimum(t2 + 1, 3) << 17), np.where(t2 > 1, self.e2 - (1 << 17), fresh)).astype(np.uint32)
-        self.one[self.s1] = np.where(right1, fresh | (np.minimum(t1 + 1, 3) << 17), np.where(t1 > 1, self.e1 - (1 << 17), fresh)).astype(np.uint32)
-        if len(escaped):
-            high = ids[escaped] >> 8
-            g = high >> 4
-            self.groups[escaped] += self.more[g]
-            self.inner[escaped * 16 + g] += self.more[high & 15]
-        self.c2, self.c1 = self.c1, ids
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.hits = np.full(2 * lanes * 4, _ALL // 4, np.int32)
+        self.slots, self.levels = self.base * SLOTS, self.base * 4
+        self.c1, self.c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(both predictions + 1, end of order 2's share, end of order 1's) for the first n lanes."""
+        one = self.c1[:n] * 40503
+        spot = np.empty((2, n), np.int64)
+        np.add(self.c2[:n] * 30011, one, out=spot[0])
+        spot[0] >>= 4
+        np.right_shift(one, 3, out=spot[1])
+        spot &= SLOTS - 1
+        spot += self.slots[:, :n]
+        self.spot, self.e = spot, self.table.take(spot, mode="clip")
+        self.level = (self.e >> 17) + self.levels[:, :n]
+        self.w = self.hits.take(self.level, mode="clip")
+        p = self.e & _ID
+        f2 = self.w[0] * (p[0] != 0)
+        f1 = ((_ALL - f2) * self.w[1] >> _MIX) * ((p[1] != 0) & (p[1] != p[0]))
+        self.p = p
+        return p, f2, f2 + f1
+
+    def learn(self, ids: np.ndarray) -> None:
+        """ids: int64."""
+        n, fresh = len(ids), (ids + 1).astype(np.int32)
+        right = self.p == fresh
+        e = self.e
+        wrong = np.where(e >= 2 * _TRUST, e - _TRUST, fresh)
+        self.table[self.spot] = np.where(right, e + (e < 3 * _TRUST) * np.int32(_TRUST), wrong)
+        self.hits[self.level] = self.w + ((np.where(right, np.int32(_ALL - 1536), np.int32(512)) - self.w) >> 4)
+        self.c2[:n] = self.c1[:n]
+        self.c1[:n] = ids
 
 
 def _check(block: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(block, dtype="<u4").tobytes())
 
 
-def encode(blocks: list[np.ndarray]) -> list[tuple[bytes, int]]:
-    """(payload, crc32 of the ids as little-endian 32-bit numbers) of each block; ids < 65536."""
+def frequencies(ids: np.ndarray) -> bytes:
+    """The order-0 table of a segment's ids (< 65536)."""
+    count = np.bincount(ids, minlength=1)
+    known = np.flatnonzero(count)
+    if not len(known):
+        return struct.pack("<I", 0)
+    f = 1 + count[known] * (_WHOLE - len(known)) // int(count.sum())
+    f[np.argmax(f)] += _WHOLE - int(f.sum())
+    planes = np.concatenate([np.diff(known, prepend=0), f - 1]).astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return struct.pack("<I", len(known)) + zlib.compress(planes.tobytes(), 1)
+
+
+def _read(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, frequencies) of an order-0 table."""
+    (n,) = struct.unpack_from("<I", table)
+    if not n:
+        return np.zeros(1, np.int64), np.full(1, _WHOLE, np.int64)
+    try:
+        planes = np.frombuffer(zlib.decompress(table[4:]), np.uint8)
+    except zlib.error as e:
+        raise ValueError("a table of frequencies is damaged") from e
+    if len(planes) != 4 * n:
+        raise ValueError("a table of frequencies is damaged")
+    both = np.ascontiguousarray(planes.reshape(2, -1).T).view("<u2").ravel().astype(np.int64)
+    ids, f = np.cumsum(both[:n]), both[n:] + 1
+    if ids[-1] >= _WHOLE or int(f.sum()) != _WHOLE:
+        raise ValueError("a table of frequencies is damaged")
+    return ids, f
+
+
+def _lanes(lengths: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(order of blocks by falling length, their lengths, lanes with an id at each step)."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    lens = np.array([lengths[i] for i in order])
+    return order, lens, np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
+
+
+def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[tuple[bytes, int]]:
+    """(payload, crc32 of the ids as little-endian 32-bit numbers) of each block; ids < 65536.
+
+    ``tables``: the order-0 table of each block's segment; None: each payload begins with its own.
+    """
     if not blocks:
         return []
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lens = np.array([len(blocks[i]) for i in order])
-    steps = int(lens[0])
-    ids = np.zeros((steps, len(blocks)), np.int64)
-    for lane, i in enumerate(order):
-        ids[: lens[lane], lane] = blocks[i]
-    live = np.searchsorted(-lens, -np.arange(steps), "left")  # lanes with an id at each step
-    m = _Model(len(blocks))
-    low, width = np.zeros(m.n, _U), np.full(m.n, (1 << 64) - 1, _U)
-    room = steps * 2 + 8
-    out, size = np.zeros((m.n, room), "<u2"), np.zeros(m.n, np.int64)
+    given = tables is not None
+    tables = tables if given else [frequencies(b) for b in blocks]
+    order, lens, live = _lanes([len(b) for b in blocks])
+    steps, lanes = len(live), len(blocks)
+    ids, zero = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint32)
+    of = np.zeros(_WHOLE, np.uint32)
+    last = None
+    for lane in sorted(range(lanes), key=lambda k: order[k]):
+        i = order[lane]
+        if last is None or (tables[i] is not last and tables[i] != last):
+            last = tables[i]
+            known, f = _read(last)
+            of[known] = ((f - 1) << 16) | (np.cumsum(f) - f)
+        ids[lane, : lens[lane]] = blocks[i]
+        zero[lane] = of[ids[lane]]
+    ids, zero = np.ascontiguousarray(ids.T), np.ascontiguousarray(zero.T)
+    # Forth: how each id splits the interval.
+    start, share, escaped = (np.empty((steps, lanes), k) for k in (np.int32, np.int32, bool))
+    m = _Model(lanes)
     for t in range(steps):
-        x = ids[t]
-        f2, f1 = m.predict()
-        is2, is1 = x == m.p2, x == m.p1
+        n = live[t]
+        x = ids[t, :n].astype(np.int64)
+        p, f2, g = m.predict(n)
+        is2, is1 = p == x + 1
+        is2 &= f2 > 0
+        is1 &= g > f2
         is1 &= ~is2
-        esc = ~(is2 | is1)
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1)).astype(_U)
-        share = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1)).astype(_U)
-        if live[t] < m.n:
-            esc[live[t] :] = False
-        part = width >> _16
-        new_low, new_width = low + part * start, part * share
-        e = np.flatnonzero(esc)
-        if len(e):
-            high, lower = x[e] >> 8, (x[e] & 255).astype(_U)
-            g, l = high >> 4, high & 15
-            row = e * 16 + g
-            within = m.inner[row, l]
-            f = (m.inner[row, l + 1] - within).astype(_U)
-            c = (m.groups[e, g] + within).astype(_U)
-            r = new_width[e] // (m.groups[e, 16].astype(_U) << _U(8))
-            new_low[e] += r * ((c << _U(8)) + lower * f)
-            new_width[e] = r * f
-        if live[t] < m.n:
-            n = live[t]
-            low[:n], width[:n] = new_low[:n], new_width[:n]
-        else:
-            low, width = new_low, new_width
-        todo = np.flatnonzero((((low ^ (low + width)) >> _48) == 0) | (width < _BOTTOM))
-        while len(todo):
-            lo, wi = low[todo], width[todo]
-            apart = ((lo ^ (lo + wi)) >> _48) != 0
-            wi = np.where(apart, (~lo + _U(1)) & (_BOTTOM - _U(1)), wi)
-            out[todo, size[todo]] = (lo >> _48).astype(np.uint16)
-            size[todo] += 1
-            low[todo], width[todo] = lo << _16, wi << _16
-            lo, wi = low[todo], width[todo]
-            todo = todo[(((lo ^ (lo + wi)) >> _48) == 0) | (wi < _BOTTOM)]
-        m.learn(x, e)
-    for k in range(4):
-        out[np.arange(m.n), size + k] = ((low >> _U(48 - 16 * k)) & _U(65535)).astype(np.uint16)
-    done: list = [None] * len(blocks)
+        escaped[t, :n] = ~(is2 | is1)
+        start[t, :n] = lo = np.where(is2, 0, np.where(is1, f2, g))
+        share[t, :n] = np.where(is2, f2, np.where(is1, g, _ALL)) - lo
+        m.learn(x)
+    # Back: the states.
+    state = np.full(lanes, _LEAST, np.uint64)
+    out, place = np.empty(lanes * steps, "<u4"), (np.arange(lanes) + 1) * steps
+    low32, u32, all0, all1 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(_WHOLE), np.uint64(_ALL)
+    for t in range(steps - 1, -1, -1):
+        n = live[t]
+        z, esc, f, s = zero[t, :n], escaped[t, :n], share[t, :n].astype(np.uint64), start[t, :n].astype(np.uint64)
+        f0, s0 = np.where(esc, (z >> 16) + np.uint32(1), np.uint32(_WHOLE)).astype(np.uint64), (z & np.uint32(0xFFFF)) * esc
+        x = state[:n]
+        full = np.flatnonzero((x >> u32) >= f * f0)
+        if len(full):
+            place[full] -= 1
+            over = x[full]
+            out[place[full]] = over & low32
+            x[full] = over >> u32
+        x += (x // f0) * (all0 - f0) + s0
+        x += (x // f) * (all1 - f) + s
+    done: list = [None] * lanes
     for lane, i in enumerate(order):
-        done[i] = (out[lane, : size[lane] + 4].tobytes(), _check(blocks[i]))
+        body = struct.pack("<Q", int(state[lane])) + out[place[lane] : (lane + 1) * steps].tobytes()
+        done[i] = (body if given else struct.pack("<I", len(tables[i])) + tables[i] + body, _check(blocks[i]))
     return done
 
 
-def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None = None) -> list[np.ndarray]:
+def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None = None, tables: list[bytes] | None = None) -> list[np.ndarray]:
     """The blocks again; raises ValueError where a checksum doesn't hold."""
     if not payloads:
         return []
-    order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
-    lens = np.array([lengths[i] for i in order])
-    steps = int(lens[0])
-    room = max(len(p) for p in payloads) // 2 + 8
-    words = np.zeros((len(payloads), room), "<u2")
-    for lane, i in enumerate(order):
-        got = np.frombuffer(payloads[i][: len(payloads[i]) // 2 * 2], "<u2")
-        words[lane, : len(got)] = got
-    live = np.searchsorted(-lens, -np.arange(steps), "left")
-    m = _Model(len(payloads))
-    low, width, code = np.zeros(m.n, _U), np.full(m.n, (1 << 64) - 1, _U), np.zeros(m.n, _U)
-    for k in range(4):
-        code = (code << _16) | words[:, k].astype(_U)
-    at = np.full(m.n, 4, np.int64)
-    ids = np.zeros((steps, m.n), np.int64)
+    if tables is None:
+        sizes = [struct.unpack_from("<I", p)[0] for p in payloads]
+        tables = [p[4 : 4 + k] for p, k in zip(payloads, sizes, strict=True)]
+        payloads = [p[4 + k :] for p, k in zip(payloads, sizes, strict=True)]
+    if min(map(len, payloads)) < 8:
+        raise ValueError("a block is cut short")
+    order, lens, live = _lanes(lengths)
+    steps, lanes = len(live), len(payloads)
+    # Of each different table: the entry of every place in its range; ids, frequencies and starts by entry.
+    numbers: dict[bytes, int] = {}
+    table = np.array([numbers.setdefault(tables[i], len(numbers)) for i in order])
+    entry, known, begin = np.empty(len(numbers) * _WHOLE, np.uint16), [], [0]
+    for k, raw in enumerate(numbers):
+        i, f = _read(raw)
+        entry[k * _WHOLE : (k + 1) * _WHOLE] = np.repeat(np.arange(len(i), dtype=np.uint16), f)
+        known.append(i << 32 | (f - 1) << 16 | (np.cumsum(f) - f))
+        begin.append(begin[-1] + len(i))
+    known, begin = np.concatenate(known), np.array(begin)[table]
+    table = table * _WHOLE
+    words = np.frombuffer(b"".join(p[8 : 8 + (len(p) - 8) // 4 * 4] for p in (payloads[i] for i in order)) + b"\0\0\0\0", "<u4")
+    place = np.cumsum([0] + [(len(payloads[i]) - 8) // 4 for i in order])[:-1]
+    state = np.array([struct.unpack_from("<Q", payloads[i])[0] & 0x7FFFFFFFFFFFFFFF for i in order], np.int64)
+    ids = np.zeros((steps, lanes), np.uint16)
+    m = _Model(lanes)
     for t in range(steps):
-        f2, f1 = m.predict()
-        part = width >> _16
-        v = np.minimum((code - low) // part, _U(65535)).astype(np.int64)
-        is2 = v < f2
-        is1 = ~is2 & (v < f2 + f1)
-        esc = ~(is2 | is1)
-        if live[t] < m.n:
-            esc[live[t] :] = False
-        x = np.where(is2, m.p2, np.where(is1, m.p1, 0))
-        start = np.where(is2, 0, np.where(is1, f2, f2 + f1)).astype(_U)
-        share = np.where(is2, f2, np.where(is1, f1, 65536 - f2 - f1)).astype(_U)
-        new_low, new_width = low + part * start, part * share
+        n = live[t]
+        x = state[:n]
+        p, f2, g = m.predict(n)
+        v = (x & (_ALL - 1)).astype(np.int32)
+        is2, esc = v < f2, v >= g
+        lo = np.where(is2, 0, np.where(esc, g, f2))
+        f = np.where(is2, f2, np.where(esc, _ALL, g)) - lo
+        x >>= _MIX
+        x *= f
+        x += v - lo
+        sym = np.where(is2, p[0], p[1]).astype(np.int64) - 1
         e = np.flatnonzero(esc)
         if len(e):
-            groups = m.groups[e]
-            total = groups[:, 16].astype(_U) << _U(8)
-            r = new_width[e] // total
-            v2 = np.minimum((code[e] - new_low[e]) // r, total - _U(1))
-            v = (v2 >> _U(8)).astype(np.uint16)
-            rows = np.arange(len(e))
-            g = (groups <= v[:, None]).sum(1) - 1
-            v -= groups[rows, g]
-            row = e * 16 + g
-            inner = m.inner[row]
-            l = (inner <= v[:, None]).sum(1) - 1
-            within = inner[rows, l]
-            f = (inner[rows, l + 1] - within).astype(_U)
-            c = (groups[rows, g] + within).astype(_U)
-            high = (g << 4) | l
-            lower = np.minimum((v2 - (c << _U(8))) // f, _U(255))
-            new_low[e] += r * ((c << _U(8)) + lower * f)
-            new_width[e] = r * f
-            x[e] = (high << 8) | lower.astype(np.int64)
-        if live[t] < m.n:
-            n = live[t]
-            x[n:] = 0
-            low[:n], width[:n] = new_low[:n], new_width[:n]
-        else:
-            low, width = new_low, new_width
-        todo = np.flatnonzero((((low ^ (low + width)) >> _48) == 0) | (width < _BOTTOM))
-        while len(todo):
-            lo, wi = low[todo], width[todo]
-            apart = ((lo ^ (lo + wi)) >> _48) != 0
-            wi = np.where(apart, (~lo + _U(1)) & (_BOTTOM - _U(1)), wi)
-            code[todo] = (code[todo] << _16) | words[todo, np.minimum(at[todo], room - 1)].astype(_U)
-            at[todo] += 1
-            low[todo], width[todo] = lo << _16, wi << _16
-            lo, wi = low[todo], width[todo]
-            todo = todo[(((lo ^ (lo + wi)) >> _48) == 0) | (wi < _BOTTOM)]
-        ids[t] = x
-        m.learn(x, e)
-    done: list = [None] * len(payloads)
+            y = x[e]
+            v0 = y & (_WHOLE - 1)
+            at = known.take(entry.take(table[e] + v0, mode="clip") + begin[e], mode="clip")
+            sym[e] = at >> 32
+            y >>= _ZERO
+            y *= (at >> 16 & 0xFFFF) + 1
+            y += v0 - (at & 0xFFFF)
+            x[e] = y
+        short = np.flatnonzero(x < _LEAST)
+        if len(short):
+            x[short] = (x[short] << 32) | words.take(place[short], mode="clip")
+            place[short] += 1
+        ids[t, :n] = sym
+        m.learn(sym)
+    ids = np.ascontiguousarray(ids.T)
+    done: list = [None] * lanes
     for lane, i in enumerate(order):
-        done[i] = ids[: lens[lane], lane].astype(np.uint32)
+        done[i] = ids[lane, : lens[lane]].astype(np.uint32)
         if checks is not None and _check(done[i]) != checks[i]:
             raise ValueError(f"block {i} doesn't match its checksum")
     return done
