@@ -27,6 +27,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from mapwright.llm.textbytes import slices, word_bounds, word_hashes
 
 MAGIC = b"MWT2"
 #: Pieces kept by a worker, at about 150 bytes each.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_200_000
 # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 mark, 4 anything else.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[0x21:0x7F] = 3
@@ -66,8 +67,12 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model behind a cut at spaces: plain pieces are normalised already.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -87,9 +92,10 @@ class WordTokenizer:
         self.size = np.concatenate([self.size, size])
         self.used += len(flat)
 
-    def _ids(self, text: str) -> np.ndarray:
+    def _ids(self, text: str, plain: bool = False) -> np.ndarray:
         # The batch form keeps no offsets, which halves the time.
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+        tokenizer = self.plain if plain else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
     def _learn(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, odd: np.ndarray) -> np.ndarray:
         """Keeps pieces' ids; returns the pieces in the order they are kept in.
@@ -102,7 +108,7 @@ class WordTokenizer:
             end = np.cumsum(size)
             text = low.take(np.arange(end[-1]) + np.repeat(first[plain] - (end - size), size), mode="clip")
             text[end - 1] = 0x20
-            got = self._ids(text.tobytes().decode("utf-8", "replace"))
+            got = self._ids(text.tobytes().decode("utf-8", "replace"), plain=True)
             close = np.flatnonzero(self.closes[got]) + 1
             if len(close) == len(plain):
                 self._keep(got, np.diff(close, prepend=0))
@@ -140,12 +146,19 @@ class WordTokenizer:
         first = np.flatnonzero(cut[:-1] & inside)
         cut[end] = True
         last = np.flatnonzero(cut[1:] & inside) + 1
-        word = np.searchsorted(start, first, "right") - 1
+        begins = np.zeros(len(buf), bool)
+        begins[start] = True
+        word = np.cumsum(begins[first]) - 1
         odd = odd_word[word]
         h = word_hashes(low, first, last) ^ (odd.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        unique, where, back = np.unique(h, return_index=True, return_inverse=True)
+        # np.unique would sort stably, which takes longer; any of equal pieces will do.
+        order = np.argsort(h)
+        fresh = np.r_[True, np.diff(h[order]) != 0]
+        where, back = order[fresh], np.empty(len(h), np.int64)
+        back[order] = np.cumsum(fresh) - 1
+        unique = h[where]
         listed = unique.tolist()
-        at = [self.known.get(x, -1) for x in listed]
+        at = [*map(self.known.get, listed, repeat(-1))]
         new = [i for i, x in enumerate(at) if x < 0]
         if new:
             spots = where[new]
@@ -240,7 +253,7 @@ def write_tokens(
 
         for batch in batches:
             who = batch.column("id").to_pylist()
-            for lo, hi, buf, off in slices(batch.column("text"), 1 << 20):
+            for lo, hi, buf, off in slices(batch.column("text")):
                 ids, n = tokenizer.encode(buf, off)
                 at = 0
                 for i, size in enumerate(n.tolist()):

@@ -519,6 +519,40 @@ def test_range_coder_round_trip():
         range_coder.decode([coded[2][0][:40] + b"\0\0" + coded[2][0][42:]], [1024], [coded[2][1]])
 
 
+def test_range_coder_beats_zlib_by_the_segment_s_frequencies():
+    from mapwright.llm import range_coder
+
+    r = np.random.default_rng(3)
+    ids = np.minimum(r.zipf(1.2, 1 << 15), 40_000).astype(np.uint16)
+    ids[5000:5200] = ids[:200]
+    blocks = np.split(ids, 32)
+    table = range_coder.frequencies(ids)
+    coded = range_coder.encode(blocks, [table] * 32)
+    assert sum(len(p) for p, _ in coded) + len(table) < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    # Any block by itself, and one whose table is damaged.
+    assert (range_coder.decode([coded[7][0]], [1024], [coded[7][1]], [table])[0] == blocks[7]).all()
+    with pytest.raises(ValueError):
+        range_coder.decode([coded[7][0]], [1024], [coded[7][1]], [table[:60] + b"\0\0" + table[62:]])
+
+
+def test_words_are_tokenised_once_a_worker(monkeypatch):
+    import public_tokenizers
+
+    from mapwright.llm import token_output
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Übermäßig zzqxv 12.5% it's <|endoftext|>", "", "zzqxv ÀÉ!! naïve"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    first = token_output.word_tokenizer(path)
+    ids, n = first.encode(buf, off)
+    expected = [first.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(expected, []) and n.tolist() == list(map(len, expected))
+    monkeypatch.setattr(token_output.WordTokenizer, "_learn", None)
+    again = token_output.word_tokenizer(path).encode(buf, off)
+    assert (again[0] == ids).all() and (again[1] == n).all()
+
+
 def test_token_files(spark, documents, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
