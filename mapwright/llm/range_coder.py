@@ -27,6 +27,8 @@ SLOTS = 256
 _MIX, _ZERO = 15, 16
 _ALL, _WHOLE = 1 << _MIX, 1 << _ZERO
 _LEAST = 1 << 31
+#: Order-0 tables laid out at a time, at 128 KB each.
+_TABLES = 256
 # Prediction: id + 1 in the lower 17 bits, trust above.
 _TRUST, _ID = 1 << 17, (1 << 17) - 1
 
@@ -182,6 +184,9 @@ def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None =
         sizes = [struct.unpack_from("<I", p)[0] for p in payloads]
         tables = [p[4 : 4 + k] for p, k in zip(payloads, sizes, strict=True)]
         payloads = [p[4 + k :] for p, k in zip(payloads, sizes, strict=True)]
+    if len(set(tables)) > _TABLES:
+        half = len(payloads) // 2
+        return [b for s in (slice(half), slice(half, None)) for b in decode(payloads[s], lengths[s], checks and checks[s], tables[s])]
     if min(map(len, payloads)) < 8:
         raise ValueError("a block is cut short")
     order, lens, live = _lanes(lengths)

@@ -519,7 +519,7 @@ def test_range_coder_round_trip():
         range_coder.decode([coded[2][0][:40] + b"\0\0" + coded[2][0][42:]], [1024], [coded[2][1]])
 
 
-def test_range_coder_beats_zlib_by_the_segment_s_frequencies():
+def test_range_coder_beats_zlib_by_the_segment_s_frequencies(monkeypatch):
     from mapwright.llm import range_coder
 
     r = np.random.default_rng(3)
@@ -529,6 +529,11 @@ def test_range_coder_beats_zlib_by_the_segment_s_frequencies():
     table = range_coder.frequencies(ids)
     coded = range_coder.encode(blocks, [table] * 32)
     assert sum(len(p) for p, _ in coded) + len(table) < sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    # Blocks with tables of their own, more than are laid out at a time.
+    monkeypatch.setattr(range_coder, "_TABLES", 5)
+    alone = range_coder.encode(blocks)
+    back = range_coder.decode([p for p, _ in alone], [1024] * 32, [c for _, c in alone])
+    assert all((a == b).all() for a, b in zip(back, blocks, strict=True))
     # Any block by itself, and one whose table is damaged.
     assert (range_coder.decode([coded[7][0]], [1024], [coded[7][1]], [table])[0] == blocks[7]).all()
     with pytest.raises(ValueError):
