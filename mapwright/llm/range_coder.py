@@ -29,48 +29,69 @@ _ALL, _WHOLE = 1 << _MIX, 1 << _ZERO
 _LEAST = 1 << 31
 #: Order-0 tables laid out at a time, at 128 KB each.
 _TABLES = 256
-# Prediction: id + 1 in the lower 17 bits, trust above.
-_TRUST, _ID = 1 << 17, (1 << 17) - 1
+#: Steps whose share of the work that needs no order is done at once.
+_AT_ONCE = 16
 
 
 class _Model:
-    """Of all lanes; what stands in row 0 is order 2, in row 1 order 1."""
+    """Of all lanes; what stands in row 0 is order 2, in row 1 order 1. A slot holds 4 * (id + 1) + trust, 0 at first."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
+        base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes)
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)
         self.hits = np.full(2 * lanes * 4, _ALL // 4, np.int32)
-        self.slots, self.levels = self.base * SLOTS, self.base * 4
-        self.c1, self.c2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(both predictions + 1, end of order 2's share, end of order 1's) for the first n lanes."""
-        one = self.c1[:n] * 40503
-        spot = np.empty((2, n), np.int64)
-        np.add(self.c2[:n] * 30011, one, out=spot[0])
-        spot[0] >>= 4
-        np.right_shift(one, 3, out=spot[1])
+        self.slots, self.levels = base * SLOTS, base * 4
+
+    def spots(self, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+        """Slots of contexts (int64, the last id and that before it; lanes last), orders next to last."""
+        spot = np.empty((*c1.shape[:-1], 2, c1.shape[-1]), np.int64)
+        one = c1 * 40503
+        np.add(c2 * 30011, one, out=spot[..., 0, :])
+        spot[..., 0, :] >>= 4
+        np.right_shift(one, 3, out=spot[..., 1, :])
         spot &= SLOTS - 1
-        spot += self.slots[:, :n]
-        self.spot, self.e = spot, self.table.take(spot, mode="clip")
-        self.level = (self.e >> 17) + self.levels[:, :n]
-        self.w = self.hits.take(self.level, mode="clip")
-        p = self.e & _ID
-        f2 = self.w[0] * (p[0] != 0)
-        f1 = ((_ALL - f2) * self.w[1] >> _MIX) * ((p[1] != 0) & (p[1] != p[0]))
-        self.p = p
-        return p, f2, f2 + f1
-
-    def learn(self, ids: np.ndarray) -> None:
-        """ids: int64."""
-        n, fresh = len(ids), (ids + 1).astype(np.int32)
-        right = self.p == fresh
-        e = self.e
-        wrong = np.where(e >= 2 * _TRUST, e - _TRUST, fresh)
-        self.table[self.spot] = np.where(right, e + (e < 3 * _TRUST) * np.int32(_TRUST), wrong)
-        self.hits[self.level] = self.w + ((np.where(right, np.int32(_ALL - 1536), np.int32(512)) - self.w) >> 4)
-        self.c2[:n] = self.c1[:n]
-        self.c1[:n] = ids
+        spot += self.slots[:, : c1.shape[-1]]
+        return spot
+
+    def look(self, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(what the slots hold, its trust, its level's hits)."""
+        e = self.table.take(spot, mode="clip")
+        trust = e & 3
+        self.level = self.levels[:, : spot.shape[-1]] + trust
+        return e, trust, self.hits.take(self.level, mode="clip")
+
+    def learn(self, spot: np.ndarray, e: np.ndarray, trust: np.ndarray, w: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+        """Takes ids as 4 * (id + 1), int32; returns which orders were right."""
+        # -1 where an order was right, else 0.
+        right = e ^ fresh
+        right -= 4
+        right >>= 31
+        # Right: more trust, 3 at most; wrong: less, and the id itself if there was little.
+        after = right | 1
+        np.subtract(e, after, out=after)
+        np.minimum(after, e | 3, out=after)
+        trust |= right
+        np.copyto(after, fresh, where=(trust & 2) == 0)
+        self.table[spot] = after
+        share = right & (_ALL - 2048)
+        share += 512
+        share -= w
+        share >>= 4
+        share += w
+        self.hits[self.level] = share
+        return right
+
+
+def _shares(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(both predictions + 1, share of order 2, of order 1); an order's share is 0 only if it predicts nothing new."""
+    p = e >> 2
+    p2, p1 = p[..., 0, :], p[..., 1, :]
+    f2 = w[..., 0, :] * (p2 != 0)
+    f1 = _ALL - f2
+    f1 *= w[..., 1, :]
+    f1 >>= _MIX
+    f1 *= (p1 != 0) & (p1 != p2)
+    return p, f2, f1
 
 
 def _check(block: np.ndarray) -> int:
@@ -125,7 +146,7 @@ def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[
     tables = tables if given else [frequencies(b) for b in blocks]
     order, lens, live = _lanes([len(b) for b in blocks])
     steps, lanes = len(live), len(blocks)
-    ids, zero = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint32)
+    ids, zero = np.zeros((lanes, steps + 2), np.uint16), np.zeros((lanes, steps), np.uint32)
     of = np.zeros(_WHOLE, np.uint32)
     last = None
     for lane in sorted(range(lanes), key=lambda k: order[k]):
@@ -134,44 +155,63 @@ def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[
             last = tables[i]
             known, f = _read(last)
             of[known] = ((f - 1) << 16) | (np.cumsum(f) - f)
-        ids[lane, : lens[lane]] = blocks[i]
-        zero[lane] = of[ids[lane]]
+        ids[lane, 2 : lens[lane] + 2] = blocks[i]
+        zero[lane, : lens[lane]] = of[blocks[i]]
+    # Two steps of zeros go ahead.
     ids, zero = np.ascontiguousarray(ids.T), np.ascontiguousarray(zero.T)
-    # Forth: how each id splits the interval.
-    start, share, escaped = (np.empty((steps, lanes), k) for k in (np.int32, np.int32, bool))
+    # Forth: how each id splits the interval. What isn't escaped takes all of order 0's.
+    start, share = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.uint16)
     m = _Model(lanes)
-    for t in range(steps):
-        n = live[t]
-        x = ids[t, :n].astype(np.int64)
-        p, f2, g = m.predict(n)
-        is2, is1 = p == x + 1
-        is2 &= f2 > 0
-        is1 &= g > f2
+    held, hits, rights = (np.zeros((_AT_ONCE, 2, lanes), k) for k in (np.int32, np.int32, np.int32))
+    for begin in range(0, steps, _AT_ONCE):
+        end = min(begin + _AT_ONCE, steps)
+        some = ids[begin : end + 2].astype(np.int64)
+        spots, fresh = m.spots(some[1:-1], some[:-2]), ((some[2:] + 1) << 2).astype(np.int32)
+        for k, n in enumerate(live[begin:end].tolist()):
+            spot = spots[k, :, :n]
+            e, trust, w = m.look(spot)
+            rights[k, :, :n] = m.learn(spot, e, trust, w, fresh[k, :n])
+            held[k, :, :n], hits[k, :, :n] = e, w
+        _, f2, f1 = _shares(held[: end - begin], hits[: end - begin])
+        is2, is1, g = rights[: end - begin, 0] != 0, rights[: end - begin, 1] != 0, f2 + f1
+        np.copyto(zero[begin:end], np.uint32((_WHOLE - 1) << 16), where=is2 | is1)
         is1 &= ~is2
-        escaped[t, :n] = ~(is2 | is1)
-        start[t, :n] = lo = np.where(is2, 0, np.where(is1, f2, g))
-        share[t, :n] = np.where(is2, f2, np.where(is1, g, _ALL)) - lo
-        m.learn(x)
+        size = _ALL - g
+        np.copyto(g, f2, where=is1)
+        np.copyto(size, f1, where=is1)
+        np.copyto(g, 0, where=is2)
+        np.copyto(size, f2, where=is2)
+        start[begin:end], share[begin:end] = g, size
     # Back: the states.
     state = np.full(lanes, _LEAST, np.uint64)
-    out, place = np.empty(lanes * steps, "<u4"), (np.arange(lanes) + 1) * steps
-    low32, u32, all0, all1 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(_WHOLE), np.uint64(_ALL)
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        z, esc, f, s = zero[t, :n], escaped[t, :n], share[t, :n].astype(np.uint64), start[t, :n].astype(np.uint64)
-        f0, s0 = np.where(esc, (z >> 16) + np.uint32(1), np.uint32(_WHOLE)).astype(np.uint64), (z & np.uint32(0xFFFF)) * esc
-        x = state[:n]
-        full = np.flatnonzero((x >> u32) >= f * f0)
-        if len(full):
-            place[full] -= 1
-            over = x[full]
-            out[place[full]] = over & low32
-            x[full] = over >> u32
-        x += (x // f0) * (all0 - f0) + s0
-        x += (x // f) * (all1 - f) + s
+    words, written = np.zeros((steps, lanes), "<u4"), np.zeros((steps, lanes), bool)
+    u32 = np.uint64(32)
+    for begin in range((steps - 1) // _AT_ONCE * _AT_ONCE, -1, -_AT_ONCE):
+        end = min(begin + _AT_ONCE, steps)
+        z, f, s = zero[begin:end], share[begin:end].astype(np.uint64), start[begin:end].astype(np.uint64)
+        f0, s0 = (z >> 16).astype(np.uint64) + np.uint64(1), (z & np.uint32(0xFFFF)).astype(np.uint64)
+        most, rest0, rest = f * f0, np.uint64(_WHOLE) - f0, np.uint64(_ALL) - f
+        for k in range(end - begin - 1, -1, -1):
+            n = live[begin + k]
+            x = state[:n]
+            high = x >> u32
+            full = np.greater_equal(high, most[k, :n], out=written[begin + k, :n])
+            words[begin + k, :n] = x
+            np.copyto(x, high, where=full)
+            q = x // f0[k, :n]
+            q *= rest0[k, :n]
+            x += q
+            x += s0[k, :n]
+            q = x // f[k, :n]
+            q *= rest[k, :n]
+            x += q
+            x += s[k, :n]
+    written = np.ascontiguousarray(written.T)
+    out = np.ascontiguousarray(words.T)[written]
+    place = np.cumsum(np.r_[0, np.count_nonzero(written, axis=1)])
     done: list = [None] * lanes
     for lane, i in enumerate(order):
-        body = struct.pack("<Q", int(state[lane])) + out[place[lane] : (lane + 1) * steps].tobytes()
+        body = struct.pack("<Q", int(state[lane])) + out[place[lane] : place[lane + 1]].tobytes()
         done[i] = (body if given else struct.pack("<I", len(tables[i])) + tables[i] + body, _check(blocks[i]))
     return done
 
@@ -207,34 +247,43 @@ def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None =
     state = np.array([struct.unpack_from("<Q", payloads[i])[0] & 0x7FFFFFFFFFFFFFFF for i in order], np.int64)
     ids = np.zeros((steps, lanes), np.uint16)
     m = _Model(lanes)
-    for t in range(steps):
-        n = live[t]
-        x = state[:n]
-        p, f2, g = m.predict(n)
+    c1 = sym = np.zeros(lanes, np.int64)
+    for t, n in enumerate(live.tolist()):
+        x, c1, c2 = state[:n], sym[:n], c1[:n]
+        spot = m.spots(c1, c2)
+        e, trust, w = m.look(spot)
+        p, f2, f1 = _shares(e, w)
         v = (x & (_ALL - 1)).astype(np.int32)
-        is2, esc = v < f2, v >= g
-        lo = np.where(is2, 0, np.where(esc, g, f2))
-        f = np.where(is2, f2, np.where(esc, _ALL, g)) - lo
+        g = f2 + f1
+        is2, guessed = v < f2, v < g
+        # As if escaped at first.
+        size = _ALL - g
+        np.copyto(size, f1, where=guessed)
+        np.copyto(size, f2, where=is2)
+        np.copyto(g, f2, where=guessed)
+        np.copyto(g, 0, where=is2)
+        v -= g
         x >>= _MIX
-        x *= f
-        x += v - lo
-        sym = np.where(is2, p[0], p[1]).astype(np.int64) - 1
-        e = np.flatnonzero(esc)
-        if len(e):
-            y = x[e]
-            v0 = y & (_WHOLE - 1)
-            at = known.take(entry.take(table[e] + v0, mode="clip") + begin[e], mode="clip")
-            sym[e] = at >> 32
-            y >>= _ZERO
-            y *= (at >> 16 & 0xFFFF) + 1
-            y += v0 - (at & 0xFFFF)
-            x[e] = y
+        x *= size
+        x += v
+        v = x & (_WHOLE - 1)
+        at = known.take(entry.take(table[:n] + v, mode="clip") + begin[:n], mode="clip")
+        p = p.astype(np.int64)
+        np.copyto(p[1], p[0], where=is2)
+        p[1] <<= 32
+        p[1] -= (1 << 32) - ((_WHOLE - 1) << 16)
+        np.copyto(at, p[1], where=guessed)
+        x >>= _ZERO
+        x *= (at >> 16 & 0xFFFF) + 1
+        x += v
+        x -= at & 0xFFFF
+        sym = at >> 32
         short = np.flatnonzero(x < _LEAST)
         if len(short):
             x[short] = (x[short] << 32) | words.take(place[short], mode="clip")
             place[short] += 1
         ids[t, :n] = sym
-        m.learn(sym)
+        m.learn(spot, e, trust, w, ((sym + 1) << 2).astype(np.int32))
     ids = np.ascontiguousarray(ids.T)
     done: list = [None] * lanes
     for lane, i in enumerate(order):

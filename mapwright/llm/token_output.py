@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from mapwright.llm import range_coder
 from mapwright.llm.common import Scratch
-from mapwright.llm.textbytes import slices, word_bounds, word_hashes
+from mapwright.llm.textbytes import mix64, slices, word_hashes
 
 MAGIC = b"MWT2"
-#: Pieces kept by a worker, at about 150 bytes each.
-MOST_WORDS = 1_200_000
+#: Pieces kept by a worker, at 24 to 48 bytes each, and their ids, at 2 bytes.
+MOST_WORDS, MOST_IDS = 2_600_000, 1 << 24
 # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 mark, 4 anything else.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[0x21:0x7F] = 3
@@ -49,11 +49,24 @@ _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
 _KIND[0x30:0x3A] = 2
 _KIND[0x27] = 4
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
+_KIND = _KIND.tobytes()
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 SEGMENT = "part int, seq long, seg_start long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"
-#: Ids coded in lockstep at a time.
-BATCH_IDS = 1 << 21
+#: Bytes of text looked up, ids coded and bytes decoded in lockstep at a time.
+SLICE_BYTES, BATCH_IDS, BATCH_BYTES = 1 << 18, 1 << 21, 1 << 22
+
+
+def piece_hashes(buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of a buffer that goes on for 16 bytes behind them, by eight bytes at a time."""
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    h = eight[first] & _FIRST.take(size, mode="clip")
+    long = np.flatnonzero(size > 8)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h[long] ^= mix64(eight[first[long] + 8] & _FIRST.take(size[long] - 8, mode="clip"))
+    rest = np.flatnonzero(size > 16)
+    h[rest] = word_hashes(buf, first[rest], first[rest] + size[rest])
+    h += size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(h)
 
 
 class WordTokenizer:
@@ -79,17 +92,53 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.begin, self.size = np.zeros(1 << 16, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.used = 0
-
-    def _keep(self, flat: np.ndarray, size: np.ndarray) -> None:
+        # By open addressing: hash of the piece that holds a slot (0: free), its begin in flat and its size.
+        self.hashes, self.spans, self.bits = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64), 16
+        self.flat, self.used, self.known = np.zeros(1 << 16, np.uint16), 0, 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each hash, places of those not known)."""
+        slot = self._slots(h)
+        seen = self.hashes.take(slot, mode="clip")
+        left, new = np.flatnonzero(seen != h), []
+        seen = seen[left]
+        while len(left):
+            free = seen == 0
+            new.append(left[free])
+            left = left[~free]
+            slot[left] = (slot[left] + 1) & (len(self.hashes) - 1)
+            seen = self.hashes.take(slot[left], mode="clip")
+            other = seen != h[left]
+            left, seen = left[other], seen[other]
+        return slot, np.concatenate(new) if new else left
+
+    def _put(self, h: np.ndarray, span: np.ndarray) -> None:
+        """Files different hashes, none of them known."""
+        if 3 * (self.known + len(h)) > 2 * len(self.hashes):
+            full = np.flatnonzero(self.hashes)
+            h, span = np.concatenate([self.hashes[full], h]), np.concatenate([self.spans[full], span])
+            self.bits = (2 * len(h)).bit_length()
+            self.hashes, self.spans, self.known = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64), 0
+        slot, left = self._slots(h), np.arange(len(h))
+        while len(left):
+            at = slot[left]
+            free = self.hashes[at] == 0
+            self.hashes[at[free]] = h[left[free]]
+            mine = self.hashes[at] == h[left]
+            self.spans[at[mine]] = span[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & (len(self.hashes) - 1)
+        self.known += len(h)
+
+    def _keep(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         if self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], flat, np.zeros(self.used + (1 << 16), np.uint16)])
         else:
             self.flat[self.used : self.used + len(flat)] = flat
-        self.begin = np.concatenate([self.begin, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        self._put(h, (self.used + np.cumsum(size) - size) << 31 | size)
         self.used += len(flat)
 
     def _ids(self, text: str, plain: bool = False) -> np.ndarray:
@@ -97,12 +146,12 @@ class WordTokenizer:
         tokenizer = self.plain if plain else self.tokenizer
         return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
 
-    def _learn(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, odd: np.ndarray) -> np.ndarray:
-        """Keeps pieces' ids; returns the pieces in the order they are kept in.
+    def _learn(self, h: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, odd: np.ndarray) -> None:
+        """Keeps different pieces' ids by their hashes.
 
         Plain pieces are tokenised in one go: each ends with the one id that closes a word.
         """
-        plain, single = np.flatnonzero(~odd), np.flatnonzero(odd).tolist()
+        plain, single = np.flatnonzero(~odd), np.flatnonzero(odd)
         if len(plain):
             size = last[plain] - first[plain] + 1
             end = np.cumsum(size)
@@ -111,68 +160,87 @@ class WordTokenizer:
             got = self._ids(text.tobytes().decode("utf-8", "replace"), plain=True)
             close = np.flatnonzero(self.closes[got]) + 1
             if len(close) == len(plain):
-                self._keep(got, np.diff(close, prepend=0))
+                self._keep(h[plain], got, np.diff(close, prepend=0))
             else:
-                single, plain = plain.tolist() + single, plain[:0]
-        if single:
+                single = np.arange(len(h))
+        if len(single):
             ids = [self._ids(low[a:b].tobytes().decode("utf-8", "replace")) for a, b in zip(first[single].tolist(), last[single].tolist(), strict=True)]
-            self._keep(np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
-        return np.concatenate([plain, np.array(single, np.int64)])
+            self._keep(h[single], np.concatenate(ids), np.array([len(x) for x in ids], np.int64))
+
+    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes as they are tokenised, pieces' first bytes, ends, whether they are odd)."""
+        # A byte more, so that one may look behind the last.
+        kind = np.frombuffer(bytearray(buf.tobytes() + b" ").translate(_KIND), np.uint8)
+        low = np.zeros(len(buf) + 16, np.uint8)
+        np.bitwise_or(buf, (kind[:-1] == 1).view(np.uint8) << 5, out=low[: len(buf)])
+        lead = np.flatnonzero(buf == 0xC3)
+        lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        low[lead[buf[lead + 1] < 0x9F] + 1] += 32
+        special = np.flatnonzero(buf[:-1] == 0x3C)
+        kind[special[buf[special + 1] == 0x7C]] = 4
+        cut = np.empty(len(buf) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=cut[1:])
+        cut |= kind == 2
+        cut[off] = True
+        cut[0] = cut[-1] = True
+        first = np.flatnonzero(cut)
+        first, last = first[:-1], first[1:]
+        kinds = kind.take(first)
+        # Without white space.
+        some = np.flatnonzero(kinds)
+        first, last, kinds = first.take(some), last.take(some), kinds.take(some)
+        odd = kinds == 4
+        if odd.any():
+            edge = np.zeros(len(buf) + 1, bool)
+            edge[off] = True
+            begins = edge[first]
+            begins[0] = True
+            begins[1:] |= first[1:] != last[:-1]
+            word = np.cumsum(begins) - 1
+            odd_word = np.zeros(int(word[-1]) + 1, bool)
+            odd_word[word[odd]] = True
+            odd = odd_word[word]
+            ends = last[np.r_[np.flatnonzero(begins)[1:] - 1, len(last) - 1]]
+            last[odd] = ends[word[odd]]
+            whole = begins | ~odd
+            first, last, odd = first[whole], last[whole], odd[whole]
+            size = last[odd] - first[odd]
+            at = np.repeat(first[odd] - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            low[at] = buf[at]
+        return low, first, last, odd
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text) of a run of texts in one buffer."""
-        if len(self.known) > MOST_WORDS:
+        if self.known > MOST_WORDS or self.used > MOST_IDS:
             self._clear()
-        start, end, row = word_bounds(buf, off)
-        if not len(start):
+        low, first, last, odd = self._pieces(buf, off) if len(buf) else (buf, *[np.zeros(0, np.int64)] * 3)
+        if not len(first):
             return np.zeros(0, np.uint16), np.zeros(len(off) - 1, np.int64)
-        kind, low = _KIND[buf], _LOWER[buf]
-        lead = np.flatnonzero(buf[:-1] == 0xC3)
-        lead = lead[(buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
-        kind[lead] = kind[lead + 1] = 1
-        capital = lead[buf[lead + 1] < 0x9F] + 1
-        low[capital] += 32
-        kind[np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))] = 4
-        other = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(kind == 4, out=other[1:])
-        odd_word = other[end] > other[start]
-        cut = np.zeros(len(buf) + 1, bool)
-        cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-        for a, b in zip(start[odd_word].tolist(), end[odd_word].tolist(), strict=True):
-            cut[a:b] = False
-            low[a:b] = buf[a:b]
-        cut[start] = True
-        inside = kind != 0
-        first = np.flatnonzero(cut[:-1] & inside)
-        cut[end] = True
-        last = np.flatnonzero(cut[1:] & inside) + 1
-        begins = np.zeros(len(buf), bool)
-        begins[start] = True
-        word = np.cumsum(begins[first]) - 1
-        odd = odd_word[word]
-        h = word_hashes(low, first, last) ^ (odd.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        # np.unique would sort stably, which takes longer; any of equal pieces will do.
-        order = np.argsort(h)
-        fresh = np.r_[True, np.diff(h[order]) != 0]
-        where, back = order[fresh], np.empty(len(h), np.int64)
-        back[order] = np.cumsum(fresh) - 1
-        unique = h[where]
-        listed = unique.tolist()
-        at = [*map(self.known.get, listed, repeat(-1))]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
-            spots = where[new]
-            kept = np.array(new)[self._learn(low, first[spots], last[spots], odd[spots])]
-            numbers = range(len(self.known), len(self.known) + len(kept))
-            self.known.update(zip(unique[kept].tolist(), numbers, strict=True))
-            at = np.array(at, np.int64)
-            at[kept] = numbers
-        at = np.asarray(at, np.int64)[back]
-        size = self.size[at]
+        h = piece_hashes(low, first, last - first)
+        h[odd] ^= np.uint64(0x9E3779B97F4A7C15)
+        # 0 marks a free slot.
+        np.maximum(h, np.uint64(1), out=h)
+        slot, new = self._find(h)
+        if len(new):
+            unique, where = np.unique(h[new], return_index=True)
+            where, bits = new[where], self.bits
+            self._learn(unique, low, first[where], last[where], odd[where])
+            if self.bits == bits:
+                slot[new] = self._find(h[new])[0]
+            else:
+                slot = self._find(h)[0]
+        span = self.spans.take(slot, mode="clip")
+        size = span & ((1 << 31) - 1)
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - (ends - size), size)]
-        pieces = np.searchsorted(row[word], np.arange(len(off)))
-        return ids, np.diff(np.r_[0, ends][pieces])
+        span >>= 31
+        span -= ends
+        span += size
+        at = np.repeat(span, size)
+        at += np.arange(len(at))
+        ids = self.flat.take(at, mode="clip")
+        return ids, np.diff(np.r_[0, ends][np.searchsorted(first, off)])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -253,7 +321,7 @@ def write_tokens(
 
         for batch in batches:
             who = batch.column("id").to_pylist()
-            for lo, hi, buf, off in slices(batch.column("text")):
+            for lo, hi, buf, off in slices(batch.column("text"), SLICE_BYTES):
                 ids, n = tokenizer.encode(buf, off)
                 at = 0
                 for i, size in enumerate(n.tolist()):
@@ -286,7 +354,7 @@ def read_tokens(spark, path: str, id_col: str = "doc_id", with_ids: bool = False
             lo = 0
             sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column("data")])
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), BATCH_IDS)) + lo)
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), BATCH_BYTES)) + lo)
                 some = batch.slice(lo, hi - lo)
                 lo = hi
                 cut = [unpack(x) for x in some.column("data").to_pylist()]

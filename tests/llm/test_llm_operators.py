@@ -558,6 +558,38 @@ def test_words_are_tokenised_once_a_worker(monkeypatch):
     assert (again[0] == ids).all() and (again[1] == n).all()
 
 
+def test_pieces_are_found_without_sorting_texts(monkeypatch):
+    """Known pieces take a fraction of the memory, and so of the work, that sorting them or hashing byte by byte took (45 bytes a byte)."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from mapwright.llm import token_output
+
+    r = np.random.default_rng(3)
+    letters = [*"abcdefghijklmnopqrstuvwxyzABCDEFéÀßÿ÷Ñ0123456789.,-!'<|日\u00a0\0"]
+    words = ["".join(r.choice(letters[:26], k)) for k in r.integers(1, 20, 90_000).tolist()] + ["".join(r.choice(letters, k)) for k in r.integers(1, 40, 2000).tolist()]
+    # Equal in all but their last byte, at each length, and of bytes of the lengths that are hashed in different ways.
+    words += [c * k + e for c in "aé" for k in (3, 4, 7, 8, 9, 15, 16, 17, 600) for e in "xyé"] + ["<|endoftext|>", "it's"]
+    texts = ["", " ", *(" ".join(words[i : i + 500]) for i in range(0, len(words), 500)), "", "end", "ing", ""]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    tokenizer = token_output.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    expected = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # At once, so that the table grows; then known; then from an empty table, as too many are kept.
+    for most in (1 << 30, 1 << 30, 10):
+        monkeypatch.setattr(token_output, "MOST_WORDS", most)
+        ids, n = tokenizer.encode(buf, off)
+        assert ids.tolist() == sum(expected, []) and n.tolist() == list(map(len, expected))
+    plain = buf[: off[150]]
+    monkeypatch.setattr(token_output, "MOST_WORDS", 1 << 30)
+    tracemalloc.start()
+    tokenizer.encode(plain, off[:151])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 25 * len(plain), most / len(plain)
+
+
 def test_token_files(spark, documents, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
