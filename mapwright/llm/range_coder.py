@@ -95,7 +95,7 @@ def _shares(e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _check(block: np.ndarray) -> int:
-    return zlib.crc32(np.ascontiguousarray(block, dtype="<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(block, dtype="<u4"))
 
 
 def frequencies(ids: np.ndarray) -> bytes:
@@ -135,6 +135,15 @@ def _lanes(lengths: list[int]) -> tuple[list[int], np.ndarray, np.ndarray]:
     return order, lens, np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
 
 
+def _turned(a: np.ndarray, band: int = 64) -> np.ndarray:
+    """The transpose, copied by squares: whole columns would push each other out of the cache."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for i in range(0, a.shape[0], band):
+        for j in range(0, a.shape[1], band):
+            out[j : j + band, i : i + band] = a[i : i + band, j : j + band].T
+    return out
+
+
 def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[tuple[bytes, int]]:
     """(payload, crc32 of the ids as little-endian 32-bit numbers) of each block; ids < 65536.
 
@@ -158,7 +167,7 @@ def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[
         ids[lane, 2 : lens[lane] + 2] = blocks[i]
         zero[lane, : lens[lane]] = of[blocks[i]]
     # Two steps of zeros go ahead.
-    ids, zero = np.ascontiguousarray(ids.T), np.ascontiguousarray(zero.T)
+    ids, zero = _turned(ids), _turned(zero)
     # Forth: how each id splits the interval. What isn't escaped takes all of order 0's.
     start, share = np.zeros((steps, lanes), np.uint16), np.zeros((steps, lanes), np.uint16)
     m = _Model(lanes)
@@ -206,8 +215,8 @@ def encode(blocks: list[np.ndarray], tables: list[bytes] | None = None) -> list[
             q *= rest[k, :n]
             x += q
             x += s[k, :n]
-    written = np.ascontiguousarray(written.T)
-    out = np.ascontiguousarray(words.T)[written]
+    written = _turned(written)
+    out = _turned(words).ravel()[np.flatnonzero(written)]
     place = np.cumsum(np.r_[0, np.count_nonzero(written, axis=1)])
     done: list = [None] * lanes
     for lane, i in enumerate(order):
@@ -284,7 +293,7 @@ def decode(payloads: list[bytes], lengths: list[int], checks: list[int] | None =
             place[short] += 1
         ids[t, :n] = sym
         m.learn(spot, e, trust, w, ((sym + 1) << 2).astype(np.int32))
-    ids = np.ascontiguousarray(ids.T)
+    ids = _turned(ids)
     done: list = [None] * lanes
     for lane, i in enumerate(order):
         done[i] = ids[lane, : lens[lane]].astype(np.uint32)

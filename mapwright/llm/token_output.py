@@ -361,10 +361,10 @@ def read_tokens(spark, path: str, id_col: str = "doc_id", with_ids: bool = False
                 got = iter(range_coder.decode(*([x for c in cut for x in c[k]] for k in range(4))))
                 rows = []
                 for at, who, n, c in zip(some.column("at").to_pylist(), some.column("doc_ids").to_pylist(), some.column("lengths").to_pylist(), cut, strict=True):
-                    ids, inner = np.concatenate([next(got) for _ in c[0]]).astype("<u4"), 0
+                    ids, inner = np.concatenate([next(got) for _ in c[0]]).astype("<u4", copy=False), 0
                     for i, size in zip(who, n, strict=True):
                         own = ids[inner : inner + size]
-                        rows.append((i, at + inner, size, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if with_ids else [])))
+                        rows.append((i, at + inner, size, zlib.crc32(own), *([own.astype(np.int32)] if with_ids else [])))
                         inner += size
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
                 names = [id_col, "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
